@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm.exact_dedup import ExactDedup
-from lattica.llm.shared import table
+from lattica.llm.packing import pack_documents
+from lattica.llm.shared import scratch, table
+from lattica.llm.token_files import read_token_files, write_token_files
+from lattica.llm.tokens import vocabulary_path
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=1, uri=scratch(spark, "token-files"))
+    return read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup(table(spark, sf_dir, "documents")).decisions()
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
+
+
+QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_packing": op7_packing,
+}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
