@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lattica.llm.exact_dedup import ExactDedup
 from lattica.llm.packing import pack_documents
 from lattica.llm.shared import scratch, table
+from lattica.llm.simhash import NearDuplicates
 from lattica.llm.token_files import read_token_files, write_token_files
 from lattica.llm.tokens import vocabulary_path
+from lattica.llm.warc import page_rows, read_archives, write_archives
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,14 +23,25 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup(table(spark, sf_dir, "documents")).decisions()
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(table(spark, sf_dir, "documents")).labelled()
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return page_rows(read_archives(spark, [f["path"] for f in files]))
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
