@@ -28,7 +28,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import open_fs, scratch, stored, whole_text
+from lattica.llm.shared import fresh, open_fs, scratch, stored, whole_text
 
 PROBES = 4
 CELLS_PER_ROW = 16
@@ -182,11 +182,10 @@ class ExactDedup:
 
     def kept(self) -> DataFrame:
         """The documents that stay, with all their columns; only possibly repeated ones are shuffled."""
-        i = self.id_col
-        digest = F.sha2(normalised(self.text_col), 256)
-        docs = self.docs.withColumn("_lt_sha", digest)
-        docs = docs.withColumn("_lt_maybe", self.filter.maybe_repeated(*_hashes(F.col("_lt_sha"))))
-        gone = self._judged().where("NOT _kept AND NOT (_id <=> _first._id)").select("_id", F.col("_sha").alias("_gone_sha"))
-        maybe = docs.where("_lt_maybe").join(gone, F.col(i).eqNullSafe(F.col("_id")) & (F.col("_lt_sha") == F.col("_gone_sha")), "left_anti")
-        maybe = maybe.dropDuplicates([i, "_lt_sha"])
-        return docs.where("NOT _lt_maybe").unionByName(maybe).drop("_lt_sha", "_lt_maybe")
+        i, docs = self.id_col, self.docs
+        sha, maybe, gone_id, gone_sha = (fresh(docs, x) for x in ("text_sha", "maybe_repeated", "gone_id", "gone_sha"))
+        docs = docs.withColumn(sha, F.sha2(normalised(self.text_col), 256))
+        docs = docs.withColumn(maybe, self.filter.maybe_repeated(*_hashes(F.col(sha))))
+        gone = self._judged().where("NOT _kept AND NOT (_id <=> _first._id)").select(F.col("_id").alias(gone_id), F.col("_sha").alias(gone_sha))
+        suspects = docs.where(F.col(maybe)).join(gone, F.col(i).eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha)), "left_anti")
+        return docs.where(~F.col(maybe)).unionByName(suspects.dropDuplicates([i, sha])).drop(sha, maybe)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.exact_dedup import ExactDedup
 from lattica.llm.packing import pack_documents
+from lattica.llm.quality import resample
 from lattica.llm.shared import scratch, table
 from lattica.llm.simhash import NearDuplicates
 from lattica.llm.token_files import read_token_files, write_token_files
@@ -27,6 +28,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "documents")).labelled()
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op10_warc": op10_warc,
 }

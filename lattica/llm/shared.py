@@ -62,3 +62,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole_text(col: str = "text"):
     """The text with null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the ids in gone's only column."""
+    name = fresh(docs, "gone_id")
+    gone = gone.toDF(name)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")
