@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm import licenses
+from lattica.llm.decontaminate import find_leaks
 from lattica.llm.exact_dedup import ExactDedup
 from lattica.llm.packing import pack_documents
 from lattica.llm.quality import resample
@@ -15,11 +17,19 @@ from lattica.llm.tokens import vocabulary_path
 from lattica.llm.warc import page_rows, read_archives, write_archives
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=1, uri=scratch(spark, "token-files"))
     return read_token_files(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup(table(spark, sf_dir, "documents")).decisions()
 
@@ -42,7 +52,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
+    "op3_licenses": op3_licenses,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
@@ -51,6 +63,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_licenses": licenses.oracle_sql(),
     "op4_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
