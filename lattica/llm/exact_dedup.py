@@ -131,20 +131,30 @@ class RepeatFilter:
     def _group(self, h1: Column) -> Column:
         return F.pmod(F.shiftrightunsigned(h1, 40), F.lit(self.groups)).cast("int")
 
+    def tester(self):
+        """A function of the arrays h1 and h2, for workers, that tells which rows may be repeated."""
+        path, mask, groups, slice_bytes = self.path, self.mask, self.groups, self.slice_cells // 8
+
+        def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(a), bool)
+            group = (a.view(np.uint64) >> np.uint64(40)) % np.uint64(groups)
+            for g in np.unique(group):
+                own = group == g
+                cells = _cells(a[own], b[own], mask).astype(np.int64)
+                bits = _filter(path, int(g), (mask + 1) // 8, slice_bytes)
+                out[own] = ((bits[cells >> 3] >> (cells & 7)) & 1).all(axis=1)
+            return out
+
+        return test
+
     def maybe_repeated(self, h1: Column, h2: Column) -> Column:
-        path, mask, slice_bytes = self.path, self.mask, self.slice_cells // 8
+        test = self.tester()
 
         @F.pandas_udf("boolean")
-        def test(g: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-            out = np.zeros(len(g), bool)
-            for group in g.unique():
-                own = (g == group).to_numpy()
-                cells = _cells(a.to_numpy()[own], b.to_numpy()[own], mask).astype(np.int64)
-                bits = _filter(path, int(group), (mask + 1) // 8, slice_bytes)
-                out[own] = ((bits[cells >> 3] >> (cells & 7)) & 1).all(axis=1)
-            return pd.Series(out)
+        def flag(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(test(a.to_numpy(), b.to_numpy()))
 
-        return test(self._group(h1), h1, h2)
+        return flag(h1, h2)
 
 
 def _hashes(digest: Column) -> list[Column]:

@@ -12,6 +12,7 @@ from lattica.llm.packing import pack_documents
 from lattica.llm.quality import resample
 from lattica.llm.shared import scratch, table
 from lattica.llm.simhash import NearDuplicates
+from lattica.llm.suffixes import find_repeats
 from lattica.llm.token_files import read_token_files, write_token_files
 from lattica.llm.tokens import vocabulary_path
 from lattica.llm.warc import page_rows, read_archives, write_archives
@@ -46,6 +47,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return page_rows(read_archives(spark, [f["path"] for f in files]))
@@ -59,6 +64,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_suffixes": op8_suffixes,
     "op10_warc": op10_warc,
 }
 
