@@ -9,6 +9,7 @@ from lattica.llm import licenses
 from lattica.llm.decontaminate import find_leaks
 from lattica.llm.exact_dedup import ExactDedup
 from lattica.llm.packing import pack_documents
+from lattica.llm.pitman_yor import score
 from lattica.llm.quality import resample
 from lattica.llm.shared import scratch, table
 from lattica.llm.simhash import NearDuplicates
@@ -51,6 +52,10 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return page_rows(read_archives(spark, [f["path"] for f in files]))
@@ -65,6 +70,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_suffixes": op8_suffixes,
+    "op9_language_model": op9_language_model,
     "op10_warc": op10_warc,
 }
 
