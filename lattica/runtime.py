@@ -37,10 +37,10 @@ class Execution:
 
         def stop() -> None:
             late.set()
-            self.spark.interruptTag(self.tag)
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
         timer = threading.Timer(timeout, stop) if timeout else None
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         if label:
             self.spark.sparkContext.setJobDescription(label)
         try:
@@ -56,7 +56,7 @@ class Execution:
         finally:
             if timer:
                 timer.cancel()
-            self.spark.removeTag(self.tag)
+            self.spark.sparkContext.removeJobTag(self.tag)
             if label:
                 self.spark.sparkContext.setJobDescription(None)
             with self.lock:
@@ -73,5 +73,5 @@ class Execution:
             if self.state is not State.QUERYING:
                 return False
             self.state = State.KILLED
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
         return True
