@@ -26,6 +26,13 @@ class Execution:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tag, self.state, self.lock = spark, f"lattica-{uuid.uuid4().hex}", State.READY, threading.Lock()
+        self.ended = threading.Event()
+
+    def _interrupt(self) -> None:
+        """Cancel the action's jobs until it ends: at first none may have been submitted yet."""
+        while not self.ended.is_set():
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+            self.ended.wait(0.2)
 
     def run(self, action: Callable[[], R], timeout: float | None = None, label: str | None = None) -> R:
         """The action's result. QueryTimeout after timeout seconds, ExecutionKilled after kill(); it may run again after either."""
@@ -33,11 +40,12 @@ class Execution:
             if self.state is State.QUERYING:
                 raise ExecutionLocked("the report is running")
             self.state = State.QUERYING
+            self.ended.clear()
         late = threading.Event()
 
         def stop() -> None:
             late.set()
-            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+            self._interrupt()
 
         timer = threading.Timer(timeout, stop) if timeout else None
         self.spark.sparkContext.addJobTag(self.tag)
@@ -54,6 +62,7 @@ class Execution:
                 raise ExecutionKilled("the report was killed") from e
             raise
         finally:
+            self.ended.set()
             if timer:
                 timer.cancel()
             self.spark.sparkContext.removeJobTag(self.tag)
@@ -73,5 +82,5 @@ class Execution:
             if self.state is not State.QUERYING:
                 return False
             self.state = State.KILLED
-        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        threading.Thread(target=self._interrupt, daemon=True).start()
         return True

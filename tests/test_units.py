@@ -173,7 +173,7 @@ def test_store(spark, tmp_path):
 
 
 def test_timeout_and_kill(spark):
-    slow = lambda: spark.range(0, 10**12, 1, 4).selectExpr("sum(id % 7)").collect()
+    slow = lambda: spark.range(0, 2 * 10**10, 1, 4).selectExpr("sum(id % 7)").collect()
     e = Execution(spark)
     with pytest.raises(QueryTimeout):
         e.run(slow, timeout=1)
