@@ -39,6 +39,55 @@ class Answer:
     summary: str | None = None
 
 
+def visible_fields(warehouse) -> dict[str, Any]:
+    """Fields that question planners may use.
+
+    A field is hidden by ``meta.agent.enabled: false``, by a ``meta.group`` among the warehouse's ``meta.agent.field_disabled_groups``,
+    or by a name that one of its ``meta.agent.field_disabled_patterns`` is found in.
+    """
+    rules = ((warehouse.meta or {}).get("agent") or {})
+    groups, patterns = rules.get("field_disabled_groups") or [], [re.compile(p) for p in rules.get("field_disabled_patterns") or []]
+
+    def shown(name: str, f) -> bool:
+        meta = f.meta or {}
+        return (meta.get("agent") or {}).get("enabled", True) is not False and not (meta.get("group") and meta["group"] in groups) and not any(p.search(name) for p in patterns)
+
+    return {n: f for n, f in warehouse.get_fields().items() if shown(n, f)}
+
+
+_RELATIVE_TIME = re.compile(r"\b(today|yesterday|(last|past|previous|this)\s+(\d+\s+)?(minute|hour|day|week|month|quarter|year)s?|\d+\s+(minute|hour|day|week|month|year)s?\s+ago)\b")
+
+
+def _says(words: str, f, name: str) -> bool:
+    """Whether a phrase names a field, by its name or display name; a plural s is let pass."""
+    return any(re.search(rf"\b{re.escape(x.lower())}s?\b", words) for x in {name.replace("_", " "), f.shown_as})
+
+
+def uncovered(warehouse, question: str, reports: list[dict]) -> list[str]:
+    """What a question names that the plan's reports leave out: metrics, dimensions after by or per, a relative time."""
+    words, fields = " ".join(question.lower().replace("_", " ").split()), visible_fields(warehouse)
+    used = {kind: {x if isinstance(x, str) else x.get("name") for r in reports for x in r.get(kind) or []} for kind in ("metrics", "dimensions")}
+    criteria = {c[0] for r in reports for c in r.get("criteria") or []}
+    out = []
+    named = [n for n, f in fields.items() if warehouse.has_metric(n) and _says(words, f, n)]
+    longest = [n for n in named if not any(n != m and n.replace("_", " ") in m.replace("_", " ") for m in named)]
+    if lack := sorted(set(longest) - used["metrics"]):
+        out.append(f"metrics {lack}")
+    after = " ".join(m[1] for m in re.finditer(r"\b(?:by|per|for each)\s+(.+?)(?=\b(?:where|in|for|during|since|over|last|past|with)\b|[?.!]|$)", words))
+    if lack := sorted({n for n, f in fields.items() if warehouse.has_dimension(n) and not warehouse.has_metric(n) and _says(after, f, n)} - used["dimensions"]):
+        out.append(f"dimensions {lack}")
+    temporal = {u.name for d in warehouse.datasources.values() for t in d.tables.values() for c in t.columns.values() for u in c.fields if u.part}
+    if _RELATIVE_TIME.search(words) and temporal and not criteria & temporal:
+        out.append("criteria for the time that is asked for")
+    return out
+
+
+def default_summary(question: str, reports: list[ReportResult], result: Any) -> str:
+    """A summary without any model."""
+    shape = f"{len(result)} results apart" if isinstance(result, dict) else f"{len(result.columns)} columns: {', '.join(result.columns)}"
+    return f"{question.strip()} Answered by {len(reports)} report{'s' * (len(reports) != 1)}, {shape}."
+
+
 class Tools:
     """What a planner may do with a warehouse."""
 
@@ -46,14 +95,14 @@ class Tools:
         self.warehouse = warehouse
 
     def overview(self) -> dict:
-        w = self.warehouse
-        return {"metrics": sorted(w.get_metrics()), "dimensions": sorted(w.get_dimensions()), "datasources": {n: sorted(d.tables) for n, d in w.datasources.items()}}
+        w, fields = self.warehouse, visible_fields(self.warehouse)
+        return {"metrics": sorted(n for n in fields if w.has_metric(n)), "dimensions": sorted(n for n in fields if w.has_dimension(n)), "datasources": {n: sorted(d.tables) for n, d in w.datasources.items()}}
 
     def find_fields(self, text: str, limit: int = 20) -> list[dict]:
         """Fields whose name, display name or description share words with the text, best first."""
         words = set(re.findall(r"[a-z0-9]+", text.lower()))
         found = []
-        for name, f in self.warehouse.get_fields().items():
+        for name, f in visible_fields(self.warehouse).items():
             own = set(re.findall(r"[a-z0-9]+", f"{name.replace('_', ' ')} {f.shown_as} {f.description or ''}".lower()))
             if score := len(words & own) / max(1, len(own)) + (name.lower() in text.lower()):
                 found.append((score, {"name": name, "kind": "metric" if self.warehouse.has_metric(name) else "dimension", "display_name": f.shown_as, "description": f.description}))
@@ -81,6 +130,11 @@ def make_plan(warehouse, question: str, raw: dict) -> QuestionPlan:
         found = Tools(warehouse).validate(r)
         if not found["valid"]:
             raise QuestionError(f"invalid report: {found['error']}")
+        asked = [x for x in [*(r.get("metrics") or []), *(r.get("dimensions") or []), *(c[0] for c in r.get("criteria") or [])] if isinstance(x, str)]
+        if hidden := sorted(set(asked) - set(visible_fields(warehouse))):
+            raise QuestionError(f"fields {hidden} are hidden from questions")
+    if lack := uncovered(warehouse, question, reports):
+        raise QuestionError(f"the plan leaves out {'; '.join(lack)}")
     strategy = raw.get("combine_strategy") or "auto"
     if strategy not in wrangle.STRATEGIES:
         raise QuestionError(f"unknown strategy {strategy!r}")
@@ -115,6 +169,5 @@ def execute_plan(warehouse, plan: QuestionPlan, progress: Progress | None = None
 
 def answer(warehouse, question: str, planner: Callable | None = None, summarizer: Callable[[str, Any], str] | None = None, progress: Progress | None = None) -> Answer:
     out = execute_plan(warehouse, plan_question(warehouse, question, planner), progress)
-    if summarizer:
-        out.summary = summarizer(question, out.result)
+    out.summary = summarizer(question, out.result) if summarizer else default_summary(question, out.reports, out.result)
     return out

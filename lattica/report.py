@@ -78,9 +78,19 @@ class Report:
         self.queries, self.lost = planner.plan(warehouse, self.sources, self.request, allow_partial, set(disabled_tables or ()))
         self.is_partial = bool(self.lost)
         self.warnings += [f"metric {m} is left out: {why}" for m, why in self.lost.items()]
+        self._note_inexact()
         self.execution = Execution(warehouse.spark)
         assert rollup_checked == self.rollup
 
+    def _note_inexact(self) -> None:
+        """Warnings on values that are not what their aggregation says."""
+        regrouped = not set(self.request.raw_dimensions) <= set(self.dims)
+        for m, f in self.request.metrics.items():
+            if f.aggregation == "count_distinct" and (regrouped or self.rollup is not None):
+                self.warnings.append(f"distinct counts of {m} are summed over groups")
+            if f.weighting_metric and f.formula and self.rollup is not None:
+                self.warnings.append(f"rollups of {m} weigh the report's rows; rows without a value count in the weights only")
+
     def _rollup(self, value):
         return rollup.check_rollup(value, len(self.dims))
 
@@ -211,6 +221,11 @@ class ReportResult:
         self.is_partial, self.unsupported_metrics, self.warnings = report.is_partial, dict(report.lost), list(report._messages)
         self.query_summaries = [f"{q.table_set.datasource.name}: {' + '.join(q.table_set.tables)} for {', '.join(q.metrics) or 'dimensions'}" for q in report.queries]
 
+    @property
+    def plan(self) -> str:
+        """The physical plan, as of now."""
+        return self.df._jdf.queryExecution().executedPlan().toString()
+
     def _run(self, action):
         return self.report.execution.run(action, self.timeout, f"Report: {', '.join(self.report.request.metrics) or 'dimensions'} | queries: {len(self.report.queries)}")
 

@@ -207,7 +207,7 @@ def test_questions(spark):
         assert not tools.validate({"metrics": ["nothing"]})["valid"]
         return {"reports": [{"metrics": ["revenue"], "dimensions": ["partner_name"]}, {"metrics": ["leads"], "dimensions": ["partner_name"]}], "wrangle": [{"op": "sort_values", "by": ["leads"], "ascending": False}, {"op": "select_columns", "columns": ["partner_name", "leads"]}]}
 
-    a = w.answer_question("revenue and leads by partner", planner, lambda q, df: f"{df.count()} rows", lambda event, data: seen.append(event))
+    a = w.answer_question("revenue and leads by partner name", planner, lambda q, df: f"{df.count()} rows", lambda event, data: seen.append(event))
     assert [tuple(r) for r in a.result.collect()][0] == ("Partner A", 4) and a.summary == "3 rows" and seen == ["report", "report", "combine", "done"]
     for bad in [{}, {"reports": [{"metrics": ["nothing"]}]}, {"reports": [{"metrics": ["leads"]}], "combine_strategy": "other"}, {"reports": [{"other": 1}]}]:
         with pytest.raises(QuestionError):
@@ -218,3 +218,22 @@ def test_questions(spark):
     assert sorted(map(str, (tuple(r) for r in wrangle.merge([a, b], ["k"]).collect()))) == ["(1, 'x', None)", "(None, 'y', 'z')"]
     assert wrangle.apply(a, [{"op": "filter_rows", "column": "k", "operator": "not in", "value": [1]}]).count() == 1
     assert set(wrangle.combine([a, b], [["k"], ["k"]], "separate")) == {"report_1", "report_2"}
+
+
+def test_question_coverage_and_visibility(spark):
+    from lattica.questions import default_summary, uncovered, visible_fields
+
+    def change(c):
+        c["meta"] = {"agent": {"field_disabled_groups": ["secret"], "field_disabled_patterns": ["^sale_"]}}
+        c["metrics"] += [{"name": "hidden_one", "type": "integer", "meta": {"agent": {"enabled": False}}}, {"name": "hidden_two", "type": "integer", "meta": {"group": "secret"}}]
+
+    w = make(spark, change)
+    shown = visible_fields(w)
+    assert "revenue" in shown and not {"hidden_one", "hidden_two", "sale_id", "sale_year"} & set(shown)
+    plan = [{"metrics": ["revenue"], "dimensions": ["partner_name"]}]
+    assert uncovered(w, "Revenue by partner name?", plan) == [] and uncovered(w, "revenue and leads by campaign name", plan) == ["metrics ['leads']", "dimensions ['campaign_name']"]
+    assert uncovered(w, "revenue last 3 days", plan)[0].startswith("criteria") and uncovered(w, "revenue last 3 days", [plan[0] | {"criteria": [("date", ">=", "3 days ago")]}]) == []
+    with pytest.raises(QuestionError):
+        w.plan_question("number", lambda q, t: {"reports": [{"metrics": ["revenue"], "dimensions": ["sale_id"]}]})
+    a = w.answer_question("revenue by partner name", lambda q, t: {"reports": plan})
+    assert "1 report" in a.summary and default_summary("q", a.reports, {"x": a.result}).endswith("1 results apart.")
