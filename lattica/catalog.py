@@ -133,8 +133,13 @@ CONFIG = {
 FILES = {"customer_nation": "nation", "supplier_nation": "nation", "customer_region": "region", "supplier_region": "region", "balance_signs": "customer"}
 
 
-def frames(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, DataFrame]]:
-    return {ds: {t: spark.read.parquet(f"{sf_dir}/{FILES.get(t, t)}.parquet") for t in c["tables"]} for ds, c in CONFIG["datasources"].items()}
+def frames(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, Callable[[], DataFrame]]]:
+    """Readers of the tables; only those that a request needs are opened."""
+
+    def reader(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.parquet(f"{sf_dir}/{FILES.get(name, name)}.parquet")
+
+    return {ds: {t: reader(t) for t in c["tables"]} for ds, c in CONFIG["datasources"].items()}
 
 
 def warehouse(spark: SparkSession, sf_dir: str, **kw) -> Warehouse:
@@ -315,7 +320,7 @@ def _routed(spark: SparkSession, sf_dir: str, own_source: bool = False, table: d
     from copy import deepcopy
 
     config, data = deepcopy(CONFIG), frames(spark, sf_dir)
-    o, c = data["sales"]["orders"], data["sales"]["customer"]
+    o, c = data["sales"]["orders"](), data["sales"]["customer"]()
     summary = o.join(c, o.o_custkey == c.c_custkey).groupBy(c.c_mktsegment.alias("segment"), F.year("o_orderdate").alias("order_year")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,4)")).alias("total"))
     ds = "summaries" if own_source else "sales"
     config["datasources"].setdefault(ds, {"tables": {}})["tables"]["order_summary"] = deepcopy(_SUMMARY) | (table or {})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -113,7 +113,7 @@ class AdHocTable:
 class DataSource(FieldManager):
     """Tables of one source and the fields they provide."""
 
-    def __init__(self, spark: SparkSession, name: str, config: dict | str | None = None, frames: dict[str, DataFrame] | None = None, contexts: dict | None = None, adhoc_directory: str = "lattica-adhoc", declared: Iterable[str] = ()):
+    def __init__(self, spark: SparkSession, name: str, config: dict | str | None = None, frames: dict[str, DataFrame | Callable[[], DataFrame]] | None = None, contexts: dict | None = None, adhoc_directory: str = "lattica-adhoc", declared: Iterable[str] = ()):
         self.spark, self.name = spark, safe_name(name)
         if self.name != name:
             raise ConfigError(f"invalid datasource name {name!r}")
@@ -138,6 +138,7 @@ class DataSource(FieldManager):
         def load() -> DataFrame:
             if name in frames or name.rpartition(".")[2] in frames:
                 df = frames.get(name, frames.get(name.rpartition(".")[2]))
+                df = df() if callable(df) else df
             elif c.get("data_url"):
                 df = readers.read_file(self.spark, c["data_url"], folder, c.get("if_exists", "replace"), **(c.get("adhoc_table_options") or {}))
             elif connection:
