@@ -98,7 +98,7 @@ def check_required_grain(request: Request) -> None:
 
 
 def candidates(warehouse: Warehouse, datasource, name: str, request: Request, table_type: str | None, disabled: set[str]) -> list[TableSet]:
-    """Table sets of a datasource with a base table that provides the field."""
+    """Table sets of a datasource with a base table that provides the field and isn't disabled; joins may use disabled tables."""
     out = []
     for t in datasource.get_tables_with_field(name, table_type):
         if disabled & {t.name, f"{datasource.name}.{t.name}"}:
@@ -107,7 +107,7 @@ def candidates(warehouse: Warehouse, datasource, name: str, request: Request, ta
         if required and not set(required) <= set(request.raw_dimensions):
             continue
         found = datasource.join_for(t, request.grain, warehouse.max_join_candidates, warehouse.max_joins)
-        if found and not any(disabled & {x, f"{datasource.name}.{x}"} for x in found.tables) and limits_met(found, request.criteria):
+        if found and limits_met(found, request.criteria):
             out.append(found)
     return out
 
