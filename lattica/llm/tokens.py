@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,42 +30,62 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of pieces; a missing one is encoded, and kept while there is room."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__({"": b""})
+        self.encode = encoder.piece
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.encode(piece)
+
+
 class Encoder:
-    """Ids of texts; keeps at most ``most`` pieces, then starts afresh."""
+    """Ids of texts. Keeps the first ``most`` pieces, so the frequent ones; starts afresh after eight times as many misses."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind, self.code = ("<u2", "H") if small else ("<u4", "I")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         self.by_piece = steps == WORD_STEPS and split == WORD_SPLIT and not spec.get("post_processor")
         self.special = any("<" in x["content"] for x in spec.get("added_tokens", []))
-        self.words, self.letters = regex.compile(WORD_SPLIT), _byte_letters()
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.letters = regex.compile(WORD_SPLIT).findall, _byte_letters()
+        self.model = self.tokenizer.model.tokenize
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.parts, self.misses = _Pieces(self), {}, 0
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
             seen = part if part.isascii() else part.encode().decode("latin1").translate(self.letters)
-            got = self.parts[part] = np.array([x.id for x in self.tokenizer.model.tokenize(seen)], self.kind).tobytes()
+            got = array(self.code, [x.id for x in self.model(seen)]).tobytes()
+            if len(self.parts) < self.most:
+                self.parts[part] = got
         return got
 
-    def _piece(self, piece: str) -> bytes:
-        plain = (piece.isascii() or max(piece) < PLAIN_BELOW) and not (self.special and "<" in piece)
-        if not plain or len(piece) > 100:
-            got = self._whole(piece)
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece without spaces that is not kept."""
+        self.misses += 1
+        if len(piece) > 100:
+            return self._whole(piece)
+        if (piece.isascii() or max(piece) < PLAIN_BELOW) and not (self.special and "<" in piece):
+            got = b"".join(map(self._part, self.words(piece.lower())))
         else:
-            got = b"".join(map(self._part, self.words.findall(piece.lower())))
-        if len(piece) <= 100:
+            got = self._whole(piece)
+        if len(self.pieces) < self.most:
             self.pieces[piece] = got
         return got
 
@@ -72,10 +93,9 @@ class Encoder:
         """The ids of a whole text, as unsigned integers."""
         if not self.by_piece:
             return np.frombuffer(self._whole(text), self.kind)
-        if len(self.pieces) > self.most:
-            self.pieces, self.parts = {"": b""}, {}
-        known = self.pieces
-        return np.frombuffer(b"".join([known[p] if p in known else self._piece(p) for p in text.replace("\n", " ").split(" ")]), self.kind)
+        if self.misses > 8 * self.most:
+            self.forget()
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))), self.kind)
 
 
 @lru_cache(maxsize=2)
