@@ -9,7 +9,9 @@ than ``literals`` plain words are left out on both sides.
 The hits of a document and an item that lie within ``gap`` tokens of each other are a candidate passage. It counts as
 a leak if its windows cover ``similarity`` of the item's tokens that windows can cover, and its slots are
 consistent: a value of the item always stands for the same value of the document and the other
-way round, in ``agreement`` of the slots. So a question asked with other numbers and names is caught, and a
+way round, in ``agreement`` of the slots. Where the slots of all its hits are not, the hits are chained along rising positions of
+document and item, and each chain is a passage of its own: an item may repeat a window with other
+values, and variants of it may follow one another. So a question asked with other numbers and names is caught, and a
 mere likeness of form is not.
 
 Bounds: the table of a block has the windows of at most ``block_chars`` characters of benchmark
@@ -38,6 +40,7 @@ LITERALS = 3
 SIMILARITY = 0.8
 AGREEMENT = 0.9
 GAP = 20
+SHIFT = 0.1
 BLOCK_CHARS = 32 << 20
 
 #: Units that count as such after a number.
@@ -150,6 +153,43 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> float:
     return right_n / len(a)
 
 
+def chains(d: np.ndarray, q: np.ndarray, reach: int) -> list[np.ndarray]:
+    """Alignments of hits (d ascending, then q): positions that rise in document and item, by steps of at most reach tokens of the document.
+
+    A hit scores 1 and a shift between document and item costs SHIFT a token. Chains are read back from their best
+    ends; a chain stops where it meets one read before.
+    """
+    n = len(d)
+    score, before = np.ones(n), np.full(n, -1)
+    first, same = np.searchsorted(d, d - reach, "left"), np.searchsorted(d, d, "left")
+    for k in range(n):
+        lo, hi = first[k], same[k]
+        if lo < hi:
+            gain = np.where(q[lo:hi] < q[k], score[lo:hi] + 1 - SHIFT * np.abs((d[k] - d[lo:hi]) - (q[k] - q[lo:hi])), 0)
+            if gain[m := len(gain) - 1 - int(gain[::-1].argmax())] > 1:
+                score[k], before[k] = gain[m], lo + m
+    used, out = np.zeros(n, bool), []
+    for k in np.argsort(-score, kind="stable"):
+        own = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            own.append(k)
+            k = before[k]
+        if own:
+            out.append(np.array(own[::-1]))
+    return out
+
+
+def one_to_one(pairs: np.ndarray) -> np.ndarray:
+    """Sorted (document, item) tokens without those that fall back or repeat on either side."""
+    out, d, q = [], -1, -1
+    for x, y in pairs.tolist():
+        if x > d and y > q:
+            out.append((x, y))
+            d, q = x, y
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def leaks(table: Table, templates: Templates, text: str, similarity: float = SIMILARITY, agreement: float = AGREEMENT, gap: int = GAP) -> list[tuple]:
     """item_id, start and end token, similarity, agreement and whether all values are the item's, for each leaked item's best passage."""
     template, values, slots = templates(text)
@@ -161,19 +201,27 @@ def leaks(table: Table, templates: Templates, text: str, similarity: float = SIM
     starts, item, at = starts[order], item[order], at[order]
     edges = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(starts, prepend=0) > gap + table.window))
     best: dict[int, tuple] = {}
-    for lo, hi in zip(edges, [*edges[1:], len(item)], strict=True):
-        i = int(item[lo])
-        share = len(covered(at[lo:hi], table.window)) / table.coverable[i]
+    def passage(i: int, d: np.ndarray, q: np.ndarray, aligned: bool) -> tuple | None:
+        share = len(covered(q, table.window)) / table.coverable[i]
         if share < similarity:
-            continue
-        d, q = (starts[lo:hi, None] + np.arange(table.window)).ravel(), (at[lo:hi, None] + np.arange(table.window)).ravel()
-        both = np.unique(np.stack([d, q], axis=1), axis=0)
+            return None
+        both = np.unique(np.stack([(x[:, None] + np.arange(table.window)).ravel() for x in (d, q)], axis=1), axis=0)
+        if aligned:
+            both = one_to_one(both)
         both = both[table.slots[i][both[:, 1]] & slots[both[:, 0]]]
         a, b = table.values[i][both[:, 1]], values[both[:, 0]]
-        agree = agreeing(a, b)
-        row = (table.items[i], int(starts[lo]), int(starts[hi - 1]) + table.window, share, agree, bool((a == b).all()))
-        if agree >= agreement and (i not in best or (-share, row[1]) < (-best[i][3], best[i][1])):
-            best[i] = row
+        return (table.items[i], int(d[0]), int(d[-1]) + table.window, share, agreeing(a, b), bool((a == b).all()))
+
+    for lo, hi in zip(edges, [*edges[1:], len(item)], strict=True):
+        i = int(item[lo])
+        whole = passage(i, starts[lo:hi], at[lo:hi], False)
+        if whole is None:
+            continue
+        # hits that don't agree as they are may be several passages, or repeat a window of the item
+        rows = [whole] if whole[4] >= agreement else [passage(i, starts[lo:hi][c], at[lo:hi][c], True) for c in chains(starts[lo:hi], at[lo:hi], gap + table.window)]
+        for row in rows:
+            if row and row[4] >= agreement and (i not in best or (-row[3], row[1]) < (-best[i][3], best[i][1])):
+                best[i] = row
     return sorted(best.values())
 
 

@@ -68,3 +68,31 @@ def test_find_leaks(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r[0] for r in rows if r[0] is not None} - {d for d, _ in want})
     assert find_leaks(docs, bench.limit(0)).count() == 0 and find_leaks(docs.limit(0), bench).count() == 0
+
+
+def one(item, text):
+    return leaks(Table([(1, item)]), Templates(), text)
+
+
+REPEATING = "we know that the basket has 3 red apples today. they say that the basket has 8 red apples today. how many red apples are there now?"
+MARBLES = "we know that in the morning there are 12 marbles in the jar and later 5 marbles are taken out. how many marbles are left?"
+
+
+def other(text, *pairs):
+    for a, b in pairs:
+        text = text.replace(f" {a} ", f" {b} ")
+    return text
+
+
+def test_item_that_repeats_a_window():
+    assert [r[5] for r in one(REPEATING, f"{FILL} {REPEATING} {FILL}")] == [True]
+    assert [r[5] for r in one(REPEATING, other(REPEATING, (3, 41), (8, 17)))] == [False]
+
+
+def test_adjacent_variants():
+    variants = [other(MARBLES, (12, 30), (5, 9)), other(MARBLES, (12, 44), (5, 21))]
+    for text in (f"{MARBLES} {variants[0]}", " ".join(variants), f"{FILL} {' '.join([*variants, MARBLES])} {FILL}"):
+        assert len(one(MARBLES, text)) == 1
+    names = "he said that Anna met Bob and then Anna told Bob that Anna and Bob may go home with Anna today"
+    mixed = "he said that Carl met Dora and then Erik told Fred that Gina and Hugo may go home with Ivan today"
+    assert one(names, mixed) == [] and one(names, f"{mixed} {mixed}") == []
