@@ -2,7 +2,8 @@
 
 Texts become templates: numbers, units after numbers, and names (capitalised words inside a
 sentence) turn into typed placeholders, other words are lower-cased and hashed, punctuation is left out. The
-windows of ``window`` template tokens of a benchmark block make a sorted hash table; the windows of
+windows of ``window`` template tokens of a benchmark block make a sorted hash table (a capitalised word that begins a
+sentence is read both as a word and as a name); the windows of
 every document probe it where the document is read, so no document is shuffled. Windows with fewer
 than ``literals`` plain words are left out on both sides.
 
@@ -41,6 +42,7 @@ SIMILARITY = 0.8
 AGREEMENT = 0.9
 GAP = 20
 SHIFT = 0.1
+MAYBE = np.uint64(1 << 22)
 BLOCK_CHARS = 32 << 20
 
 #: Units that count as such after a number.
@@ -77,8 +79,8 @@ class Templates:
             self.pieces[piece] = got
         return got
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hashes, value hashes, and which tokens are slots."""
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hashes, value hashes, which tokens are slots, and which capitalised words begin a sentence."""
         known = self.pieces
         got = [known[p] if p in known else self._piece(p) for p in text.replace("\n", " \n ").split(" ")]
         values = np.frombuffer(b"".join([x[0] for x in got]), np.uint64)
@@ -86,10 +88,11 @@ class Templates:
         before = np.concatenate([[BREAK], kinds[:-1]]).astype(np.uint8) if len(kinds) else kinds
         number = kinds & NUMBER > 0
         unit = (kinds & UNIT > 0) & (before & NUMBER > 0)
-        name = (kinds & CAPITAL > 0) & (before & (ENDS | BREAK) == 0) & ~unit
+        capital = (kinds & CAPITAL > 0) & ~unit
+        name = capital & (before & (ENDS | BREAK) == 0)
         out = np.where(number, SLOT[0], np.where(unit, SLOT[1], np.where(name, SLOT[2], values)))
         own = kinds & BREAK == 0
-        return out[own], values[own], (number | unit | name)[own]
+        return out[own], values[own], (number | unit | name)[own], (capital & ~name)[own]
 
 
 def windows(template: np.ndarray, slots: np.ndarray, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +109,20 @@ def windows(template: np.ndarray, slots: np.ndarray, window: int, literals: int)
     return starts, h[starts]
 
 
+def named_windows(template: np.ndarray, slots: np.ndarray, initial: np.ndarray, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows with a capitalised word that begins a sentence, with it as a name."""
+    n = len(template) - window + 1
+    if n < 1 or not initial.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    plain, first = np.cumsum(np.append(False, ~(slots | initial))), np.cumsum(np.append(False, initial))
+    starts = np.flatnonzero((plain[window:] - plain[:-window] >= literals) & (first[window:] > first[:-window]))
+    named, h = np.where(initial, SLOT[2], template), np.zeros(len(starts), np.uint64)
+    for i in range(window):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + named[starts + i]
+        h ^= h >> np.uint64(29)
+    return starts, h
+
+
 class Table:
     """The windows of a block of benchmark items."""
 
@@ -114,21 +131,26 @@ class Table:
         make, seen = Templates(), {}
         for i, text in sorted(items):
             t = make(text)
-            starts, h = windows(t[0], t[2], window, literals)
+            starts, h = (np.concatenate(x) for x in zip(windows(t[0], t[2], window, literals), named_windows(*(t[k] for k in (0, 2, 3)), window, literals), strict=True))
             if len(starts):
                 seen.setdefault((t[0].tobytes(), t[1].tobytes()), (i, t, starts, h))
         self.items = [x[0] for x in seen.values()]
         self.values = [x[1][1] for x in seen.values()]
         self.slots = [x[1][2] for x in seen.values()]
+        self.initial = [x[1][3] for x in seen.values()]
         self.coverable = [len(covered(x[2], window)) for x in seen.values()]
         hashes = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in seen.values())])
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
+        self.maybe = np.zeros(MAYBE, bool)
+        self.maybe[hashes % MAYBE] = True
         self.item = np.repeat(np.arange(len(seen)), [len(x[2]) for x in seen.values()])[order]
         self.start = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in seen.values())])[order]
 
     def hits(self, starts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document start, item and item start of each pair of equal windows."""
+        maybe = self.maybe[h % MAYBE]
+        starts, h = starts[maybe], h[maybe]
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         n = hi - lo
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -192,36 +214,48 @@ def one_to_one(pairs: np.ndarray) -> np.ndarray:
 
 def leaks(table: Table, templates: Templates, text: str, similarity: float = SIMILARITY, agreement: float = AGREEMENT, gap: int = GAP) -> list[tuple]:
     """item_id, start and end token, similarity, agreement and whether all values are the item's, for each leaked item's best passage."""
-    template, values, slots = templates(text)
-    starts, item, at = table.hits(*windows(template, slots, table.window, table.literals))
-    out = []
-    if not len(starts):
-        return out
-    order = np.lexsort((at, starts, item))
-    starts, item, at = starts[order], item[order], at[order]
-    edges = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(starts, prepend=0) > gap + table.window))
+    template, values, slots, initial = templates(text)
     best: dict[int, tuple] = {}
-    def passage(i: int, d: np.ndarray, q: np.ndarray, aligned: bool) -> tuple | None:
+    plain = table.hits(*windows(template, slots, table.window, table.literals))
+    named = table.hits(*named_windows(template, slots, initial, table.window, table.literals))
+
+    def passage(i: int, d: np.ndarray, q: np.ndarray, with_initial: bool, aligned: bool) -> tuple | None:
         share = len(covered(q, table.window)) / table.coverable[i]
         if share < similarity:
             return None
         both = np.unique(np.stack([(x[:, None] + np.arange(table.window)).ravel() for x in (d, q)], axis=1), axis=0)
         if aligned:
             both = one_to_one(both)
-        both = both[table.slots[i][both[:, 1]] & slots[both[:, 0]]]
         a, b = table.values[i][both[:, 1]], values[both[:, 0]]
+        # a word that begins a sentence is a name only where it differs
+        item_slot, slot = table.slots[i][both[:, 1]], slots[both[:, 0]]
+        own = item_slot & slot
+        if with_initial:
+            own |= (item_slot | table.initial[i][both[:, 1]]) & (slot | initial[both[:, 0]]) & (a != b)
+        a, b = a[own], b[own]
         return (table.items[i], int(d[0]), int(d[-1]) + table.window, share, agreeing(a, b), bool((a == b).all()))
 
-    for lo, hi in zip(edges, [*edges[1:], len(item)], strict=True):
-        i = int(item[lo])
-        whole = passage(i, starts[lo:hi], at[lo:hi], False)
-        if whole is None:
-            continue
-        # hits that don't agree as they are may be several passages, or repeat a window of the item
-        rows = [whole] if whole[4] >= agreement else [passage(i, starts[lo:hi][c], at[lo:hi][c], True) for c in chains(starts[lo:hi], at[lo:hi], gap + table.window)]
-        for row in rows:
-            if row and row[4] >= agreement and (i not in best or (-row[3], row[1]) < (-best[i][3], best[i][1])):
-                best[i] = row
+    def search(starts: np.ndarray, item: np.ndarray, at: np.ndarray, with_initial: bool) -> None:
+        order = np.lexsort((at, starts, item))
+        starts, item, at = starts[order], item[order], at[order]
+        edges = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(starts, prepend=0) > gap + table.window))
+        for lo, hi in zip(edges, [*edges[1:], len(item)], strict=True):
+            i, d, q = int(item[lo]), starts[lo:hi], at[lo:hi]
+            whole = passage(i, d, q, with_initial, False)
+            if whole is None:
+                continue
+            # hits that don't agree as they are may be several passages, or repeat a window of the item
+            rows = [whole] if whole[4] >= agreement else [passage(i, d[c], q[c], with_initial, True) for c in chains(d, q, gap + table.window)]
+            for row in rows:
+                if row and row[4] >= agreement and (i not in best or (-row[3], row[1]) < (-best[i][3], best[i][1])):
+                    best[i] = row
+
+    if len(plain[0]):
+        search(*plain, False)
+    both = [np.concatenate(x) for x in zip(plain, named, strict=True)]
+    left = np.isin(both[1], named[1]) & ~np.isin(both[1], list(best))
+    if left.any():
+        search(*(x[left] for x in both), True)
     return sorted(best.values())
 
 

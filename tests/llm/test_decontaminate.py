@@ -96,3 +96,12 @@ def test_adjacent_variants():
     names = "he said that Anna met Bob and then Anna told Bob that Anna and Bob may go home with Anna today"
     mixed = "he said that Carl met Dora and then Erik told Fred that Gina and Hugo may go home with Ivan today"
     assert one(names, mixed) == [] and one(names, f"{mixed} {mixed}") == []
+
+
+def test_names_that_begin_sentences():
+    item = "Tom has 5 apples. Ann has 3 apples. Tom gives Ann 2 apples. How many apples does Tom have?"
+    asked = "Ben has 9 apples. Eva has 4 apples. Ben gives Eva 1 apples. How many apples does Ben have?"
+    assert [r[5] for r in one(item, item)] == [True]
+    assert [r[5] for r in one(item, asked)] == [False]
+    assert [r[5] for r in one(item, f"{FILL} {asked}\n{FILL}")] == [False]
+    assert one(item, "Ben has 9 apples. Eva has 4 apples. Kim gives Leo 1 apples. How many apples does Mia have?") == []
