@@ -11,12 +11,19 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Removed rows that one bucket holds on average, and rows of a file that share a bucket.
+BUCKET_ROWS = 500_000
+BLOCK_BITS = 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -72,8 +79,57 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """docs without the ids in gone's only column."""
-    name = fresh(docs, "gone_id")
-    gone = gone.toDF(name)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")
+def is_files(df: DataFrame) -> bool:
+    """Whether df is a Parquet table as read, whose rows are known by file and number."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().fileFormat().toString() == "Parquet"
+
+
+@lru_cache(maxsize=16)
+def _removed(uri: str, bucket: int, file: str) -> np.ndarray:
+    """The sorted numbers of a file's removed rows that a bucket holds."""
+    fs, path = open_fs(f"{uri}/bucket={bucket}")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return np.zeros(0, np.int64)
+    rows = pq.read_table(path, columns=["row"], filesystem=fs, filters=[("file", "=", file)], partitioning=None)
+    return np.sort(rows["row"].to_numpy())
+
+
+class Rows:
+    """A table's rows, each with a key of its own: its file and its number in it.
+
+    Decisions carry this key, so that a row is removed for its own sake, whatever other rows have its id. A
+    table that isn't one of Parquet files as read is written first.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs if is_files(docs) else stored(docs, "rows")
+        self.file, self.row = fresh(docs, "row_file"), fresh(docs, "row_number")
+        self.key = [self.file, self.row]
+
+    def keyed(self) -> DataFrame:
+        """The table with the two key columns."""
+        meta = self.docs.metadataColumn("_metadata")
+        return self.docs.select("*", meta["file_path"].alias(self.file), meta["row_index"].alias(self.row))
+
+    def without(self, gone: DataFrame) -> DataFrame:
+        """The table without the rows whose keys are in gone; no row of the table is shuffled.
+
+        The keys are written in buckets by (file, block of rows), of which a task of the scan opens those of its own rows.
+        """
+        uri = scratch(self.docs.sparkSession, "gone")
+        gone = stored(gone.toDF("file", "row"), "gone-rows")
+        buckets = max(1, gone.count() // BUCKET_ROWS)
+        bucket = lambda file, row: F.pmod(F.xxhash64(file, F.shiftright(row, BLOCK_BITS)), F.lit(buckets)).cast("int")
+        dealt = gone.withColumn("bucket", bucket(F.col("file"), F.col("row"))).repartition(buckets, "bucket").sortWithinPartitions("bucket", "file", "row")
+        dealt.write.partitionBy("bucket").parquet(uri)
+
+        @F.pandas_udf("boolean")
+        def is_gone(bucket: pd.Series, file: pd.Series, row: pd.Series) -> pd.Series:
+            out = np.zeros(len(row), bool)
+            for (b, f), at in row.groupby([bucket, file]).indices.items():
+                out[at] = np.isin(row.to_numpy()[at], _removed(uri, int(b), f))
+            return pd.Series(out)
+
+        file, row = F.col(self.file), F.col(self.row)
+        return self.keyed().where(~is_gone(bucket(file, row), file, row)).drop(*self.key)

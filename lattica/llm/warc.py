@@ -10,7 +10,12 @@ Reader: every record is checked (gzip's CRC, the header block, Content-Length, t
 After a failed check it searches on for the next valid start: a gzip member that decompresses to a
 version line, or in a plain file a version line whose header block is complete. Skipped bytes become gaps with
 their offset, length and reason; nothing is read twice, and all later records come through. Files
-are read in pieces; memory is bounded by the largest record.
+are read in pieces; memory is bounded by the largest record. A record larger than a cell of a table can be (2 GiB) becomes a gap.
+
+A payload's SHA-1 is taken in the JVM before it is written and once more by the reader, whose check of the block is
+also the payload's digest.
+
+``page_rows`` fails at the first gap, unless it is told to leave gaps out; ``gaps`` is the log of all.
 
 Defined cases: a null payload is empty. Pages with a null id are written and come back with one.
 Rows that repeat the first page's id and payload are all responses. Empty tables give no archive.
@@ -26,20 +31,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lattica.llm.shared import open_fs, stored, whole_text
 
 VERSION = b"WARC/1.1"
 GZIP = b"\x1f\x8b\x08"
 PIECE = 1 << 20
-#: A record larger than this is taken for damage.
-MOST_BYTES = 1 << 30
+#: What a cell of a table can hold, less room for headers.
+MOST_BYTES = (1 << 31) - (1 << 20)
 
 
 def digest(payload: bytes) -> str:
@@ -56,8 +59,11 @@ def page_of(uri: str | None) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
+NOTHING = digest(b"")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """The bytes of one record, uncompressed."""
+    """The bytes of one record, uncompressed. Its block is the payload, or nothing."""
     body = b"" if revisit else payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
@@ -65,7 +71,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, payload_digest:
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", "".join((url or "").split())),
         ("WARC-Payload-Digest", f"sha1:{payload_digest}"),
-        ("WARC-Block-Digest", f"sha1:{digest(body)}"),
+        ("WARC-Block-Digest", f"sha1:{NOTHING if revisit else payload_digest}"),
         ("X-Payload-Length", str(len(payload))),
         *([("WARC-Refers-To", record_uri(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")] if revisit else []),
         ("Content-Type", "text/html; charset=utf-8"),
@@ -86,6 +92,8 @@ class Record:
     length: int
     headers: dict[str, str]
     body: bytes
+    #: The SHA-1 of the body, as read.
+    digest: str
 
 
 @dataclass
@@ -117,8 +125,8 @@ class _Window:
         self.at += n
 
 
-def parsed(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, body and length of the record at the start of data. ValueError if it isn't valid, EOFError if data is too short."""
+def parsed(data: bytes) -> tuple[dict[str, str], bytes, str, int]:
+    """Headers, body, its digest and length of the record at the start of data. ValueError if it isn't valid, EOFError if data is too short."""
     if not data.startswith(b"WARC/1."):
         raise ValueError("no version line")
     end = data.find(b"\r\n\r\n")
@@ -131,8 +139,10 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes, int]:
             raise ValueError("bad header line")
         headers[name.decode("utf-8", "replace").lower()] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
-    if not size.isdigit() or int(size) > MOST_BYTES:
+    if not size.isdigit():
         raise ValueError("bad Content-Length")
+    if int(size) > MOST_BYTES:
+        raise ValueError("record larger than a cell")
     if "warc-type" not in headers:
         raise ValueError("no WARC-Type")
     stop = end + 4 + int(size)
@@ -141,38 +151,42 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes, int]:
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("record not ended where Content-Length says")
     body = bytes(data[end + 4 : stop])
-    want = headers.get("warc-block-digest", "")
-    if want.startswith("sha1:") and want[5:] != digest(body):
+    want, own = headers.get("warc-block-digest", ""), digest(body)
+    if want.startswith("sha1:") and want[5:] != own:
         raise ValueError("block digest differs")
-    return headers, body, stop + 4
+    return headers, body, own, stop + 4
 
 
-def _member(window: _Window) -> tuple[dict[str, str], bytes, int]:
+def _member(window: _Window) -> tuple[dict[str, str], bytes, str, int]:
     """The record in the gzip member at the window's start, and the member's length."""
-    d, out, used = zlib.decompressobj(31), bytearray(), 0
+    d, out, used, size, begins = zlib.decompressobj(31), [], 0, 0, b""
+    step = 1 << 12
     try:
         while not d.eof:
             have = window.want(used + 1)
             if have <= used:
                 raise ValueError("member cut short")
-            out += d.decompress(bytes(window.data[used : used + (1 << 16)]), MOST_BYTES)
-            used = min(have, used + (1 << 16)) - len(d.unused_data)
-            if len(out) >= 7 and not out.startswith(b"WARC/1."):
+            stop = min(have, used + step)
+            piece = d.decompress(bytes(memoryview(window.data)[used:stop]))
+            out.append(piece)
+            used, size, step = stop - len(d.unused_data), size + len(piece), min(step * 2, 1 << 16)
+            begins = (begins + piece)[:7]
+            if len(begins) == 7 and begins != b"WARC/1.":
                 raise ValueError("no version line")
-            if len(out) > MOST_BYTES:
-                raise ValueError("record too large")
+            if size > MOST_BYTES + (1 << 19):
+                raise ValueError("record larger than a cell")
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
     try:
-        headers, body, n = parsed(bytes(out))
+        headers, body, own, n = parsed(b"".join(out))
     except EOFError as e:
         raise ValueError(str(e)) from None
-    if n != len(out):
+    if n != size:
         raise ValueError("bytes after the record in its member")
-    return headers, body, used
+    return headers, body, own, used
 
 
-def _plain(window: _Window) -> tuple[dict[str, str], bytes, int]:
+def _plain(window: _Window) -> tuple[dict[str, str], bytes, str, int]:
     """The record at the window's start."""
     n = 1 << 16
     while True:
@@ -190,7 +204,7 @@ def salvage(file: BinaryIO) -> Iterator[Record | Gap]:
     w = _Window(file)
     lost, why, tried = 0, "", 0
     while w.want(max(tried + 7, 1)) > tried:
-        start = min((i for i in (w.data.find(GZIP, tried), w.data.find(b"WARC/1.", tried)) if i >= 0), default=-1)
+        start = 0 if not tried and w.data.startswith((GZIP, b"WARC/1.")) else min((i for i in (w.data.find(GZIP, tried), w.data.find(b"WARC/1.", tried)) if i >= 0), default=-1)
         if start < 0:  # keep what may be the beginning of a mark
             rest = len(w.data) if w.ended else max(0, len(w.data) - 6)
             if rest:
@@ -202,7 +216,7 @@ def salvage(file: BinaryIO) -> Iterator[Record | Gap]:
             lost, why, tried = lost + start, why or "no record begins here", 0
             w.skip(start)
         try:
-            headers, body, n = _member(w) if w.data.startswith(GZIP) else _plain(w)
+            headers, body, own, n = _member(w) if w.data.startswith(GZIP) else _plain(w)
         except ValueError as e:
             lost, why = lost + 1, why or str(e)
             w.skip(1)
@@ -210,25 +224,24 @@ def salvage(file: BinaryIO) -> Iterator[Record | Gap]:
         if lost:
             yield Gap(w.at - lost, lost, why)
             lost, why = 0, ""
-        yield Record(w.at, n, headers, body)
+        yield Record(w.at, n, headers, body, own)
         w.skip(n)
     if lost:
         yield Gap(w.at - lost, lost, why)
 
 
-@F.pandas_udf(T.StructType([T.StructField("digest", T.StringType()), T.StructField("bytes", T.LongType())]))
-def _digests(html: pd.Series) -> pd.DataFrame:
-    payloads = [x.encode("utf-8", "surrogatepass") for x in html]
-    return pd.DataFrame({"digest": [digest(p) for p in payloads], "bytes": [len(p) for p in payloads]})
+def _sha1(payload: Column) -> Column:
+    return F.sha1(F.encode(payload, "UTF-8"))
 
 
 def repeats(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
     """page, refers_to: for each page that repeats the payload of another with a smaller id."""
-    found = _digests(whole_text(payload_col))
-    rows = stored(pages.select(F.col(id_col).cast("long").alias("page"), found.alias("d")).select("page", "d.digest", "d.bytes").where((F.col("bytes") >= least) & F.col("page").isNotNull()), "payload-digests")
-    first = stored(rows.groupBy("digest").agg(F.min("page").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-payloads")
+    payload = whole_text(payload_col)
+    found = pages.select(F.col(id_col).cast("long").alias("page"), _sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("bytes"))
+    rows = stored(found.where((F.col("bytes") >= least) & F.col("page").isNotNull()).select("page", "sha"), "payload-digests")
+    first = stored(rows.groupBy("sha").agg(F.min("page").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-payloads")
     # joined with a written table, so that AQE can split a common digest
-    return rows.join(first, "digest").where("page <> refers_to").select("page", "digest", "refers_to").distinct()
+    return rows.join(first, "sha").where("page <> refers_to").select("page", "sha", "refers_to").distinct()
 
 
 def _write(uri: str):
@@ -237,13 +250,12 @@ def _write(uri: str):
         name, n, at, f = f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0, 0, None
         part = f"{path}/.{name}.{uuid.uuid4().hex}"
         for b in batches:
-            for page, url, html, refers_to, repeated in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for page, url, html, sha, refers_to in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if not f:
                     fs.create_dir(path, recursive=True)
-                    f = fs.open_output_stream(part)
+                    f = fs.open_output_stream(part, compression=None)
                 payload = html.encode("utf-8", "surrogatepass")
-                own = digest(payload)
-                data = member(record(page, url, payload, own, refers_to, own == repeated))
+                data = member(record(page, url, payload, base64.b32encode(bytes.fromhex(sha)).decode(), refers_to, refers_to is not None))
                 f.write(data)
                 n, at = n + 1, at + len(data)
         if f:
@@ -257,25 +269,29 @@ def _write(uri: str):
 def write_archives(pages: DataFrame, uri: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> list[dict]:
     """Write a record for each page; the files, with their records and bytes."""
     again = repeats(pages, id_col, payload_col, least)
-    rows = pages.select(F.col(id_col).cast("long").alias("p"), F.col(url_col).cast("string").alias("url"), whole_text(payload_col).alias("html"))
-    joined = rows.join(again, rows["p"] == again["page"], "left").select("p", "url", "html", "refers_to", "digest")
+    payload = whole_text(payload_col)
+    rows = pages.select(F.col(id_col).cast("long").alias("p"), F.col(url_col).cast("string").alias("url"), payload.alias("html"), _sha1(payload).alias("own"))
+    out = ["p", "url", "html", "own", "refers_to"]
+    joined = rows.where("p IS NOT NULL").join(again, (rows["p"] == again["page"]) & (rows["own"] == again["sha"]), "left").select(*out)
+    # pages without an id repeat nothing, so they aren't dealt by it
+    joined = joined.unionByName(rows.where("p IS NULL").withColumn("refers_to", F.lit(None).cast("long")).select(*out))
     files = joined.mapInArrow(_write(uri), "path string, records long, bytes long").collect()
     return sorted((f.asDict() for f in files), key=lambda f: f["path"])
 
 
-ROWS = "file string, offset long, length long, gap string, headers map<string,string>, body binary"
+ROWS = "file string, offset long, length long, gap string, headers map<string,string>, body binary, digest string"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary()), ("digest", pa.string())])
     for b in batches:
         for uri in b.column(0).to_pylist():
             fs, path = open_fs(uri)
             rows: list[tuple] = []
             size = 0
-            with fs.open_input_stream(path) as f:
+            with fs.open_input_stream(path, compression=None) as f:  # members are told apart here
                 for x in salvage(f):
-                    rows.append((uri, x.offset, x.length, x.reason, None, None) if isinstance(x, Gap) else (uri, x.offset, x.length, None, list(x.headers.items()), x.body))
+                    rows.append((uri, x.offset, x.length, x.reason, None, None, None) if isinstance(x, Gap) else (uri, x.offset, x.length, None, list(x.headers.items()), x.body, x.digest))
                     size += x.length if isinstance(x, Gap) else len(x.body)
                     if len(rows) >= 1000 or size >= 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -290,21 +306,23 @@ def read_archives(spark: SparkSession, uris: list[str]) -> DataFrame:
     return paths.repartition(max(1, len(uris))).mapInArrow(_read, ROWS)
 
 
-@F.pandas_udf(T.StringType())
-def _payload_digest(body: pd.Series, claimed: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([digest(b) if k == "response" else (c or "").removeprefix("sha1:") for b, c, k in zip(body, claimed, kind, strict=True)])
+def gaps(records: DataFrame) -> DataFrame:
+    """The log of quarantined bytes: file, offset, length, reason."""
+    return records.where("gap IS NOT NULL").select("file", "offset", "length", F.col("gap").alias("reason"))
 
 
-def page_rows(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records read."""
+def page_rows(records: DataFrame, leave_gaps: bool = False) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records read. A gap raises an error, or is left out if so told."""
     h = F.col("headers")
     own = F.regexp_extract(h["warc-record-id"], r"^<urn:page:(-?\d+)>$", 1)
     to = F.regexp_extract(F.coalesce(h["warc-refers-to"], F.lit("")), r"^<urn:page:(-?\d+)>$", 1)
     kind = h["warc-type"]
-    return records.where("gap IS NULL").select(
+    lost = F.concat(F.lit("damage in "), "file", F.lit(" at byte "), F.col("offset").cast("string"), F.lit(": "), "gap")
+    whole = F.col("gap").isNull()
+    return records.where(whole if leave_gaps else F.when(whole, F.lit(True)).otherwise(F.raise_error(lost).cast("boolean"))).select(
         F.when(own != "", own.cast("long")).alias("page_id"),
         F.when(kind == "response", F.length("body").cast("long")).otherwise(h["x-payload-length"].cast("long")).alias("payload_bytes"),
-        _payload_digest(F.col("body"), h["warc-payload-digest"], kind).alias("payload_digest"),
+        F.when(kind == "response", F.col("digest")).otherwise(F.regexp_replace(h["warc-payload-digest"], "^sha1:", "")).alias("payload_digest"),
         kind.alias("record_type"),
         F.when(to != "", to.cast("long")).alias("refers_to"),
     )

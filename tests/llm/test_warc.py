@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lattica.llm.warc import Gap, Record, digest, member, page_rows, read_archives, record, salvage, write_archives
+from lattica.llm.warc import PIECE, Gap, Record, digest, gaps, member, page_rows, read_archives, record, salvage, write_archives
 
 PAGES = [(5, "u5", "<p>x</p>"), (2, "u2", "<p>x</p>"), (9, None, None), (7, "u 7", ""), (1, "u1", "é" * 5000), (8, "u8", "WARC/1.1\r\nWARC-Type: response\r\n\r\n"), (None, "none", "<p>x</p>"), (2, "u2", "<p>x</p>")]
 
@@ -86,3 +86,31 @@ def test_round_trip(spark, tmp_path):
     assert {r.record_type for r in rows} == {"response"}
     assert write_archives(pages.limit(0), f"file://{tmp_path}/e") == []
     assert read_archives(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("wrap", [member, bytes])
+def test_records_longer_than_a_piece(wrap):
+    rng = random.Random(5)
+    texts = [rng.randbytes(n).hex() for n in (10, PIECE, 3 * PIECE // 2, 20, PIECE // 2 - 300)]
+    parts = [wrap(raw(i, t)) for i, t in enumerate(texts)]
+    found = list(salvage(io.BytesIO(b"".join(parts))))
+    assert [x.body.decode() for x in found] == texts
+    parts[2] = parts[2][: len(parts[2]) // 2]  # the reader searches on through the rest
+    found = list(salvage(io.BytesIO(b"".join(parts))))
+    assert ids(found) == [0, 1, 3, 4] and [x.length for x in found if isinstance(x, Gap)] == [len(parts[2])]
+
+
+def test_damage_is_logged_and_raised(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    (file,) = write_archives(pages, f"file://{tmp_path}/d")
+    path = file["path"].removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    at = len(data) // 2
+    data[at : at + 40] = bytes(40)
+    open(path, "wb").write(bytes(data))
+    records = read_archives(spark, [file["path"]])
+    (gap,) = gaps(records).collect()
+    assert gap.offset <= at < gap.offset + gap.length and gap.reason
+    assert page_rows(records, leave_gaps=True).count() in (18, 19)
+    with pytest.raises(Exception, match="damage in"):
+        page_rows(records).collect()
