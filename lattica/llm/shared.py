@@ -15,9 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -66,7 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def whole_text(col: str = "text"):
+def whole_text(col: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -85,18 +86,32 @@ def is_files(df: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().fileFormat().toString() == "Parquet"
 
 
+def bucket_of(file: Column, row: Column, buckets: int, block_bits: int) -> Column:
+    """The bucket of a row's block: a task of the scan meets few of them."""
+    return F.pmod(F.xxhash64(file, F.shiftright(row, block_bits)), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, buckets: int, block_bits: int, uri: str) -> None:
+    """Write df (file, row and more columns) in buckets, sorted, for ``read_bucket``."""
+    dealt = df.withColumn("bucket", bucket_of(F.col("file"), F.col("row"), buckets, block_bits)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "file", "row")
+    dealt.write.partitionBy("bucket").parquet(uri)
+
+
 @lru_cache(maxsize=16)
-def _removed(uri: str, bucket: int, file: str) -> np.ndarray:
-    """The sorted numbers of a file's removed rows that a bucket holds."""
+def read_bucket(uri: str, bucket: int, file: int, column: str | None = None) -> tuple[np.ndarray, np.ndarray | list]:
+    """The sorted row numbers of a file in a bucket, and the values of another column with them."""
     fs, path = open_fs(f"{uri}/bucket={bucket}")
+    columns = ["row", column or "row"]
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return np.zeros(0, np.int64)
-    rows = pq.read_table(path, columns=["row"], filesystem=fs, filters=[("file", "=", file)], partitioning=None)
-    return np.sort(rows["row"].to_numpy())
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = pq.read_table(path, columns=columns[: 2 if column else 1], filesystem=fs, filters=[("file", "=", file)], partitioning=None)
+    row = found["row"].to_numpy()
+    order = np.argsort(row, kind="stable")
+    return row[order], (found[column].take(pa.array(order)).to_pylist() if column else row)
 
 
 class Rows:
-    """A table's rows, each with a key of its own: its file and its number in it.
+    """A table's rows, each with a key of its own: a hash of its file's name, and its number in the file.
 
     Decisions carry this key, so that a row is removed for its own sake, whatever other rows have its id. A
     table that isn't one of Parquet files as read is written first.
@@ -110,7 +125,7 @@ class Rows:
     def keyed(self) -> DataFrame:
         """The table with the two key columns."""
         meta = self.docs.metadataColumn("_metadata")
-        return self.docs.select("*", meta["file_path"].alias(self.file), meta["row_index"].alias(self.row))
+        return self.docs.select("*", F.xxhash64(meta["file_path"]).alias(self.file), meta["row_index"].alias(self.row))
 
     def without(self, gone: DataFrame) -> DataFrame:
         """The table without the rows whose keys are in gone; no row of the table is shuffled.
@@ -120,16 +135,14 @@ class Rows:
         uri = scratch(self.docs.sparkSession, "gone")
         gone = stored(gone.toDF("file", "row"), "gone-rows")
         buckets = max(1, gone.count() // BUCKET_ROWS)
-        bucket = lambda file, row: F.pmod(F.xxhash64(file, F.shiftright(row, BLOCK_BITS)), F.lit(buckets)).cast("int")
-        dealt = gone.withColumn("bucket", bucket(F.col("file"), F.col("row"))).repartition(buckets, "bucket").sortWithinPartitions("bucket", "file", "row")
-        dealt.write.partitionBy("bucket").parquet(uri)
+        write_buckets(gone, buckets, BLOCK_BITS, uri)
 
         @F.pandas_udf("boolean")
         def is_gone(bucket: pd.Series, file: pd.Series, row: pd.Series) -> pd.Series:
             out = np.zeros(len(row), bool)
             for (b, f), at in row.groupby([bucket, file]).indices.items():
-                out[at] = np.isin(row.to_numpy()[at], _removed(uri, int(b), f))
+                out[at] = np.isin(row.to_numpy()[at], read_bucket(uri, int(b), int(f))[0])
             return pd.Series(out)
 
         file, row = F.col(self.file), F.col(self.row)
-        return self.keyed().where(~is_gone(bucket(file, row), file, row)).drop(*self.key)
+        return self.keyed().where(~is_gone(bucket_of(file, row, buckets, BLOCK_BITS), file, row)).drop(*self.key)
