@@ -7,7 +7,10 @@ straight through. Only possibly repeated rows shuffle, grouped by the SHA-256 of
 
 Size: a row has 16 to 32 cells of one bit, so about 0.2 % of unique rows are suspected in vain. A
 filter has at most ``filter_bytes``; for more rows the hash space is cut into ranges, each with a
-filter of that size, and the (id, digest) rows, never texts, are first dealt by range.
+filter of that size. The narrow rows (id, digest, row key), never texts, are then dealt by range once, so that in either pass a file of them
+needs one range only, and a filter is loaded once for each such file.
+
+``kept`` reads the texts a second time and leaves rows out by their key, as told by the decisions; texts are neither shuffled nor hashed again.
 
 Defined cases: a null text is an empty text. Runs of white space count as one space. A null id
 stays only if its whole group has null ids. Rows that repeat both id and text: exactly one is kept.
@@ -28,11 +31,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import fresh, open_fs, scratch, stored, whole_text
+from lattica.llm.shared import Rows, open_fs, scratch, stored, whole_text
 
 PROBES = 4
 CELLS_PER_ROW = 16
 FLUSH_ROWS = 500_000
+#: Rows of a range that a file holds where there is more than one range.
+DEALT_ROWS = 2_000_000
 
 
 def normalised(col: str = "text") -> Column:
@@ -115,27 +120,31 @@ def _filter(uri: str, group: int, n_bytes: int, slice_bytes: int) -> np.ndarray:
 class RepeatFilter:
     """Tells rows that are surely unique from those possibly repeated."""
 
-    def __init__(self, hashes: DataFrame, rows: int, filter_bytes: int = 64 << 20):
-        """hashes: h1, h2 of every row; rows: how many there are."""
-        cells = 1 << max(16, math.ceil(math.log2(max(1, rows) * CELLS_PER_ROW)))
+    def __init__(self, rows: DataFrame, n: int, filter_bytes: int = 64 << 20, dealt_rows: int = DEALT_ROWS):
+        """rows: a written table with h1, h2 and narrow columns; n: how many there are."""
+        cells = 1 << max(16, math.ceil(math.log2(max(1, n) * CELLS_PER_ROW)))
         most = 1 << int(math.log2(filter_bytes * 8))
         self.groups, cells = max(1, cells // most), min(cells, most)
         self.mask, self.slice_cells = cells - 1, max(1 << 14, cells >> 8)
-        self.path = scratch(hashes.sparkSession, "bloom")
-        cut = hashes.select(self._group(F.col("h1")).alias("grp"), "h1", "h2")
+        self.path, self.rows = scratch(rows.sparkSession, "bloom"), rows
         if self.groups > 1:
-            cut = cut.repartition("grp", F.pmod("h2", F.lit(256)))
+            each = max(1, n // self.groups // dealt_rows)
+            part = self._group(F.col("h1")) * each + F.pmod("h2", F.lit(each)).cast("int")
+            self.rows = stored(rows.repartitionById(self.groups * each, part), "dealt-by-range")
+        cut = self.rows.select(self._group(F.col("h1")).alias("grp"), "h1", "h2")
         parts = cut.mapInArrow(_partial_filters(self.mask, self.slice_cells), "grp int, slice int, once binary, twice binary")
         parts.groupBy("grp", "slice").applyInPandas(_merged(self.slice_cells), "grp int, slice int, bits binary").write.parquet(self.path)
 
     def _group(self, h1: Column) -> Column:
         return F.pmod(F.shiftrightunsigned(h1, 40), F.lit(self.groups)).cast("int")
 
-    def tester(self):
-        """A function of the arrays h1 and h2, for workers, that tells which rows may be repeated."""
+    def flagged(self, name: str) -> DataFrame:
+        """The rows with a column of that name: whether they may be repeated."""
         path, mask, groups, slice_bytes = self.path, self.mask, self.groups, self.slice_cells // 8
 
-        def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        @F.pandas_udf("boolean")
+        def flag(h1: pd.Series, h2: pd.Series) -> pd.Series:
+            a, b = h1.to_numpy(), h2.to_numpy()
             out = np.zeros(len(a), bool)
             group = (a.view(np.uint64) >> np.uint64(40)) % np.uint64(groups)
             for g in np.unique(group):
@@ -143,44 +152,30 @@ class RepeatFilter:
                 cells = _cells(a[own], b[own], mask).astype(np.int64)
                 bits = _filter(path, int(g), (mask + 1) // 8, slice_bytes)
                 out[own] = ((bits[cells >> 3] >> (cells & 7)) & 1).all(axis=1)
-            return out
-
-        return test
-
-    def maybe_repeated(self, h1: Column, h2: Column) -> Column:
-        test = self.tester()
-
-        @F.pandas_udf("boolean")
-        def flag(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(test(a.to_numpy(), b.to_numpy()))
-
-        return flag(h1, h2)
-
+            return pd.Series(out)
 
-def _hashes(digest: Column) -> list[Column]:
-    return [F.xxhash64(digest).alias("h1"), F.xxhash64(digest, F.lit(1)).alias("h2")]
+        return self.rows.withColumn(name, flag("h1", "h2"))
 
 
 class ExactDedup:
     """The decisions on a table of documents; ``decisions`` and ``kept`` are lazy over written tables."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = 64 << 20):
-        self.docs, self.id_col, self.text_col = docs, id_col, text_col
-        digests = docs.select(F.col(id_col).alias("_id"), F.sha2(normalised(text_col), 256).alias("_sha"), F.monotonically_increasing_id().alias("_row"))
-        self.digests = stored(digests, "digests")
-        self.filter = RepeatFilter(self.digests.select(*_hashes(F.col("_sha"))), self.digests.count(), filter_bytes)
-        flag = self.filter.maybe_repeated(*_hashes(F.col("_sha")))
-        flagged = self.digests.withColumn("_maybe", flag)
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = 64 << 20, dealt_rows: int = DEALT_ROWS):
+        self.id_col, self.table = id_col, Rows(docs)
+        file, row = self.table.key
+        digests = self.table.keyed().select(F.col(id_col).alias("_id"), F.sha2(normalised(text_col), 256).alias("_sha"), F.col(file).alias("_file"), F.col(row).alias("_row"))
+        hashed = stored(digests.select("*", F.xxhash64("_sha").alias("h1"), F.xxhash64("_sha", F.lit(1)).alias("h2")), "digests")
+        self.filter = RepeatFilter(hashed, hashed.count(), filter_bytes, dealt_rows)
+        flagged = self.filter.flagged("_maybe").drop("h1", "h2")
         self.suspects = stored(flagged.where("_maybe").drop("_maybe"), "suspects")
         self.passed = flagged.where("NOT _maybe").drop("_maybe")
-        first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("_first")
+        first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_file", "_row")).alias("_first")
         self.groups = stored(self.suspects.groupBy("_sha").agg(first, F.count(F.lit(1)).alias("_size")).where("_size > 1"), "groups")
 
     def _judged(self) -> DataFrame:
         """Possibly repeated rows with their group; the join's hot keys are left to AQE's skew handling."""
-        return self.suspects.join(self.groups, "_sha", "left").select(
-            "_id", "_sha", "_first", "_size", (F.col("_first").isNull() | (F.col("_row") == F.col("_first._row"))).alias("_kept")
-        )
+        own = (F.col("_row") == F.col("_first._row")) & (F.col("_file") == F.col("_first._file"))
+        return self.suspects.join(self.groups, "_sha", "left").select("_id", "_sha", "_file", "_row", "_first", "_size", (F.col("_first").isNull() | own).alias("_kept"))
 
     def decisions(self) -> DataFrame:
         """One row a document: id, keep_id, group_size, kept, text_sha256."""
@@ -191,11 +186,5 @@ class ExactDedup:
         return own.unionByName(judged)
 
     def kept(self) -> DataFrame:
-        """The documents that stay, with all their columns; only possibly repeated ones are shuffled."""
-        i, docs = self.id_col, self.docs
-        sha, maybe, gone_id, gone_sha = (fresh(docs, x) for x in ("text_sha", "maybe_repeated", "gone_id", "gone_sha"))
-        docs = docs.withColumn(sha, F.sha2(normalised(self.text_col), 256))
-        docs = docs.withColumn(maybe, self.filter.maybe_repeated(*_hashes(F.col(sha))))
-        gone = self._judged().where("NOT _kept AND NOT (_id <=> _first._id)").select(F.col("_id").alias(gone_id), F.col("_sha").alias(gone_sha))
-        suspects = docs.where(F.col(maybe)).join(gone, F.col(i).eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha)), "left_anti")
-        return docs.where(~F.col(maybe)).unionByName(suspects.dropDuplicates([i, sha])).drop(sha, maybe)
+        """The documents that stay, with all their columns; only the keys of possibly repeated ones are shuffled."""
+        return self.table.without(self._judged().where("NOT _kept").select("_file", "_row"))
