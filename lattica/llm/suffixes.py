@@ -1,46 +1,56 @@
 """Passages repeated across documents, by sparse suffix arrays.
 
 Of each text's suffixes (by words), only those at content-selected positions are kept: in every
-``width`` successive ``anchor``-word runs, the one with the smallest hash (a minimiser). Copies of a passage of
-``least`` = width + anchor - 1 words or more select the same positions in it. Runs that surely occur in one
-document only are left out by a two-pass Bloom filter. What is left is sorted twice: by the ``least``
-words that follow a position, and by those that lead up to its run's end, read backwards. The longest
-match of a sorted suffix with another document's is with a neighbour, so comparing neighbours
-extends each match to the right, and in the other order to the left. Overlapping matches of a
-document are joined; a stretch of ``least`` words or more is reported.
-
-The sorts are range partitionings by (words, document, position): a passage that very many documents
-share is dealt over many tasks, as its rows differ in the last two. Rows at the edges of partitions are
-compared on the driver: one run of equal documents for each edge.
-
-Words are compared by 32-bit hashes, ``anchor`` of them at least. Texts are taken as they are, split at ASCII white space.
-
-Defined cases: null texts are empty; texts of fewer than ``least`` words have no passage. A passage repeated
-only within a document isn't reported. Rows that repeat an id count as one document; null ids are
-left out. Empty tables give no rows.
+``WIDTH`` successive ``ANCHOR``-word runs, those with the smallest hash (minimisers; of equal ones all). So copies of a passage of
+LEAST = WIDTH + ANCHOR - 1 words select the same positions in it, wherever it stands. An anchor's context is the BACK words before it
+and the LEAST words from it on; every passage of LEAST words around the anchor lies in it. A word is repeated if it lies
+in LEAST successive words that another document has too; the longest stretches of such words are reported.
+
+1. A pass over the texts makes narrow rows: hashes of anchor and context, and the position. Anchors of a periodic stretch with equal
+   contexts are one row (its first and last position), so a line repeated for ever has few rows.
+2. A two-pass Bloom filter leaves out anchors that surely occur once. The rest is counted by (anchor, context): a context that
+   two documents have is repeated whole, and however many have it, it is one row from here on.
+3. Only for anchors with several contexts are the words themselves needed. A second pass over the texts with such rows reads one
+   occurrence of each context. These suffixes are sorted by the words from the anchor on, and by those before it, read backwards; each is
+   compared with its nearest neighbours of other documents, and the match is extended to the other side of the anchor: a match counts if both
+   sides together have LEAST words.
+4. Where the longest match to one side and a neighbour that counts are not the same, the windows of LEAST words around the anchor are
+   looked up one by one by hash, among the contexts of that anchor.
+
+The sorts are range partitionings; contexts differ, so an anchor with very many is dealt over many tasks. Rows at the
+edges of partitions (one run of equal documents and the next other one) are compared in a second job, by anchor. Nothing is sent to the driver.
+
+Words are compared by 32-bit hashes, anchors and contexts by 64-bit ones. Texts are taken as they are, split at ASCII white space.
+
+Defined cases: null texts are empty; texts of fewer than LEAST words have no passage. A passage repeated
+only within a document isn't reported. Each row is a document of its own, also if its id is null or repeated.
+Empty tables give no rows. Columns that clash in name don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.exact_dedup import RepeatFilter
-from lattica.llm.shared import stored, whole_text
+from lattica.llm.shared import Rows, bucket_of, read_bucket, scratch, stored, whole_text, write_buckets
 
 ANCHOR = 20
 WIDTH = 31
-OVERLAP = 10
-#: In periodic stretches, whose minimisers tie, one position of so many is kept.
-SPARE = 16
+LEAST = ANCHOR + WIDTH - 1
+BACK = LEAST - ANCHOR
 TASK_ROWS = 100_000
+BATCH = 500
+#: Rows of a file whose selected positions are read at once, and positions of a bucket.
+BLOCK_BITS = 14
+BUCKET_POSITIONS = 1_000_000
+MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Words:
@@ -51,205 +61,289 @@ class Words:
         self.most = most
 
     def _word(self, word: bytes) -> bytes:
-        got = xxhash.xxh64_digest(word)
+        got = (xxhash.xxh64_intdigest(word) | 1 << 32).to_bytes(8, "little")  # never like padding
         if len(word) <= 64 and len(self.known) < self.most:
             self.known[word] = got
         return got
 
-    def __call__(self, text: str) -> np.ndarray:
-        known = self.known
-        words = text.encode("utf-8", "surrogatepass").split()
-        return np.frombuffer(b"".join([known[w] if w in known else self._word(w) for w in words]), "<u8")
+    def __call__(self, text: str) -> bytes:
+        known, parts = self.known, []
+        for w in text.encode("utf-8", "surrogatepass").split():
+            got = known.get(w)
+            parts.append(self._word(w) if got is None else got)
+        return b"".join(parts)
 
 
-def runs(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n words."""
-    m = len(words) - n + 1
-    h = np.zeros(max(0, m), np.uint64)
-    for i in range(n if m > 0 else 0):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[i : i + m]
-    return h ^ (h >> np.uint64(29))
-
+@lru_cache(maxsize=1)
+def _words() -> Words:
+    """One for each Python worker."""
+    return Words()
 
-def anchors(words: np.ndarray, anchor: int = ANCHOR, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Minimiser positions and the hashes of their runs."""
-    if len(words) < anchor + width - 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = runs(words, anchor)
-    best = np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(len(h) - width + 1)
-    at = best[np.diff(best, prepend=-1) != 0]
-    again = np.zeros(len(h), bool)
-    for p in range(1, 9):
-        again[p:] |= h[p:] == h[:-p]
-    at = at[~again[at] | (at % SPARE == 0)]
-    return at, h[at]
 
+class Batch:
+    """The words of some texts one after another, with padding between them."""
 
-def _other(h: np.ndarray) -> np.ndarray:
-    return (h ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)
+    def __init__(self, texts: list[str]):
+        split, pad = _words(), bytes(8 * LEAST)
+        parts = [split(t) for t in texts]
+        self.n = np.array([len(p) // 8 for p in parts], np.int64)
+        self.start = LEAST + np.append(0, np.cumsum(self.n[:-1] + LEAST)) if len(parts) else np.zeros(0, np.int64)
+        self.words = np.frombuffer(pad + b"".join([x for p in parts for x in (p, pad)]), "<u8")
 
 
-def _anchor_hashes(anchor: int, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Words()
-        for b in batches:
-            found = [np.unique(anchors(split(t), anchor, width)[1]) for t in b.column(0).to_pylist()]
-            h = np.concatenate([np.zeros(0, np.uint64), *found])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_other(h).view(np.int64))], ["h1", "h2"])
-
-    return run
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of runs, from those of their two parts."""
+    h = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
+    return h ^ (h >> np.uint64(29))
 
 
-def _suffixes(anchor: int, width: int, maybe):
-    least = anchor + width - 1
+def _doubled(x: np.ndarray, n: int, op) -> np.ndarray:
+    """op over all windows of n, by ever longer ones; op must not mind overlap."""
+    size = 1
+    while size * 2 <= n:
+        x = op(x[: len(x) - size], x[size:])
+        size *= 2
+    return op(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
+
+
+def anchors(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position, anchor hash and context hash of all minimisers, in order."""
+    w, none = batch.words, np.zeros(0, np.int64)
+    h2 = joined(w[:-1], w[1:])
+    h4 = joined(h2[:-2], h2[2:])
+    h8 = joined(h4[:-4], h4[4:])
+    h16 = joined(h8[:-8], h8[8:]) if len(h8) > 8 else none
+    if not len(h16) or not (batch.n >= LEAST).any():
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+    h32 = joined(h16[:-16], h16[16:])
+    h64 = joined(h32[:-32], h32[32:])
+    run = joined(h16[:-4], h4[16 : 16 + len(h16) - 4])
+    # runs that lie in a text, and windows of runs that do
+    edge = np.zeros(len(w) + 1, np.int32)
+    long_enough = batch.n >= LEAST
+    s, n = batch.start[long_enough], batch.n[long_enough]
+    np.add.at(edge, s, 1)
+    np.add.at(edge, s + n - ANCHOR + 1, -1)
+    valid = np.cumsum(edge)[: len(run)] > 0
+    h = np.where(valid, run, MOST)
+    low = _doubled(h, WIDTH, np.minimum)
+    edge[:] = 0
+    np.add.at(edge, s, 1)
+    np.add.at(edge, s + n - LEAST + 1, -1)
+    low = np.where(np.cumsum(edge)[: len(low)] > 0, low, 0)
+    # a run is selected if it is the lowest of some window that has it
+    best = _doubled(np.concatenate([np.zeros(WIDTH - 1, np.uint64), low, np.zeros(WIDTH - 1, np.uint64)]), WIDTH, np.maximum)[: len(h)]
+    at = np.flatnonzero(valid & (best == h))
+    text = np.searchsorted(batch.start, at, side="right") - 1
+    first = at - BACK
+    return text, at - batch.start[text], run[at], joined(h64[first], h16[first + 64])
+
+
+NARROW = "file long, row long, id long, n int, h1 long, h2 long, lo int, hi int"
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors (h1) with contexts (h2) and first and last position, from (text, file, row, id)."""
+    names = [x.split()[0] for x in NARROW.split(", ")]
+    for b in batches:
+        for lo in range(0, b.num_rows, BATCH):
+            own = b.slice(lo, BATCH)
+            batch = Batch(own.column(0).to_pylist())
+            text, at, h, ctx = anchors(batch)
+            if not len(at):
+                continue
+            new = (np.diff(text, prepend=-1) != 0) | (np.diff(at, prepend=0) > WIDTH) | (np.append(True, h[1:] != h[:-1])) | np.append(True, ctx[1:] != ctx[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1
+            rows = pa.array(text[first])
+            columns = [*(own.column(i).take(rows) for i in (1, 2, 3)), pa.array(batch.n[text[first]].astype(np.int32)), pa.array(h[first].view(np.int64)), pa.array(ctx[first].view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(at[first].astype(np.int32)), pa.array(at[last].astype(np.int32))], names)
+
+
+SUFFIXES = "ahead boolean, h1 long, h2 long, who long, many boolean, before int, after int, key binary"
+
+
+def _suffixes(uri: str):
+    """Both suffixes of the chosen contexts, from (text, file, row, bucket)."""
+    names = [x.split()[0] for x in SUFFIXES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Words()
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                own = b.slice(lo, 500)
-                out = []
-                for doc, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
-                    words = split(text)
-                    at, h = anchors(words, anchor, width)
-                    if len(at):
-                        out.append((doc, words, at, h))
-                if not out:
-                    continue
-                h = np.concatenate([x[3] for x in out])
-                keep, k = maybe(h.view(np.int64), _other(h).view(np.int64)), 0
-                rows = []
-                for doc, words, at, h in out:
-                    at = at[keep[k : k + len(h)]]
-                    k += len(h)
-                    if len(at):
-                        padded = np.concatenate([np.zeros(least, ">u4"), (words >> np.uint64(32)).astype(">u4"), np.zeros(least, ">u4")])
-                        on = padded[at[:, None] + least + np.arange(least)]
-                        back = padded[at[:, None] + least + anchor - 1 - np.arange(least)]
-                        rows.append((doc, len(words), at, on, back))
-                for right in (True, False):
-                    if rows:
-                        keys = [r[3 if right else 4] for r in rows]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(sum(map(len, keys)), right)),
-                                pa.array([x.tobytes() for k in keys for x in k], pa.binary()),
-                                pa.array(np.repeat([r[0] for r in rows], [len(k) for k in keys]), pa.int64()),
-                                pa.array(np.concatenate([r[2] for r in rows]), pa.int32()),
-                                pa.array(np.repeat([r[1] for r in rows], [len(k) for k in keys]), pa.int32()),
-                            ],
-                            ["ahead", "key", "doc", "pos", "n"],
-                        )
+            file, row, bucket = (b.column(i).to_numpy() for i in (1, 2, 3))
+            chosen: dict[int, list[int]] = {}
+            for u in np.unique(np.stack([bucket, file]), axis=1).T.tolist():
+                at = np.flatnonzero((bucket == u[0]) & (file == u[1]))
+                rows, which = read_bucket(uri, *u, "pick")
+                lo, hi = np.searchsorted(rows, row[at], "left"), np.searchsorted(rows, row[at], "right")
+                for k, x, y in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    if y > x:
+                        chosen[k] = which[x:y]
+            some = sorted(chosen)
+            for k in range(0, len(some), BATCH):
+                own = some[k : k + BATCH]
+                batch = Batch(b.column(0).take(pa.array(own)).to_pylist())
+                pos = np.concatenate([[p["lo"] for p in chosen[i]] for i in own]).astype(np.int64)
+                start = np.repeat(batch.start, [len(chosen[i]) for i in own])
+                left = np.repeat(batch.n, [len(chosen[i]) for i in own]) - pos
+                short = np.concatenate([(batch.words >> np.uint64(32)).astype(">u4"), np.zeros(LEAST, ">u4")])
+                at = start + pos
+                ahead = short[at[:, None] + ANCHOR + np.arange(BACK)]
+                back = short[at[:, None] - 1 - np.arange(BACK)]
+                picks = [p for i in own for p in chosen[i]]
+                h1, h2, who, many = ([p[c] for p in picks] for c in ("h1", "h2", "who", "many"))
+                for forward, two in ((True, (ahead, back)), (False, (back, ahead))):
+                    key = np.concatenate(two, axis=1)
+                    columns = [np.full(len(at), forward), np.array(h1, np.int64), np.array(h2, np.int64), np.array(who, np.int64), np.array(many, bool)]
+                    columns += [np.minimum(pos, BACK).astype(np.int32), np.minimum(left, LEAST).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(list(map(bytes, key)), pa.binary())], names)
 
     return run
 
 
+FOUND = "h1 long, h2 long, most_before int, most_after int, before int, after int, edge boolean, " + ", ".join(x.replace("h1 ", "edge_h1 ").replace("h2 ", "edge_h2 ").replace("before ", "edge_before ").replace("after ", "edge_after ") for x in SUFFIXES.split(", "))
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the common beginnings of rows."""
     differ = a != b
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def _span(ahead: np.ndarray, pos: np.ndarray, n: np.ndarray, match: np.ndarray, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    lo = np.where(ahead, pos, np.maximum(0, pos + anchor - match))
-    return lo, np.where(ahead, np.minimum(n, pos + match), pos + anchor)
-
-
-def _compared(anchor: int, width: int):
-    """Spans of one sorted partition; the runs of one document at its two edges come back with their keys."""
-    least = anchor + width - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("ahead", pa.bool_()), ("key", pa.binary()), ("doc", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())]))
-        names = ["part", "edge", "ahead", "key", "doc", "pos", "n", "match", "lo", "hi"]
-        types = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        part = TaskContext.get().partitionId()
-        if not len(t):
-            return
-        t = t.combine_chunks()
-        ahead, doc, pos, n = (t[c].to_numpy() for c in ("ahead", "doc", "pos", "n"))
-        keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u4").reshape(-1, least)
-        lcp = np.concatenate([[0], _common(keys[1:], keys[:-1]) * (ahead[1:] == ahead[:-1])])
-        group = np.cumsum((np.diff(doc, prepend=doc[0] - 1) != 0) | (np.diff(ahead.astype(int), prepend=-1) != 0))
-        before = pd.Series(lcp).groupby(group).cummin().to_numpy()
-        next_ = np.append(lcp[1:], 0)
-        after = pd.Series(next_[::-1]).groupby(group[::-1]).cummin().to_numpy()[::-1]
-        match = np.maximum(before, after)
-        lo, hi = _span(ahead, pos, n, match, anchor)
-        ok = match >= anchor
-        m = int(ok.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.full(m, part), np.zeros(m, int), ahead[ok], [None] * m, doc[ok], pos[ok], n[ok], match[ok], lo[ok], hi[ok]), types, strict=True)], names)
-        for edge, own in ((1, group == group[0]), (2, group == group[-1])):
-            at = np.flatnonzero(own)
-            # how much of the edge row's key each row of its run shares
-            shared = np.minimum.accumulate(np.concatenate([[least], lcp[at[1:]]])) if edge == 1 else np.minimum.accumulate(np.concatenate([[least], lcp[at[:0:-1]]]))[::-1]
-            ends = [None] * len(at)
-            ends[0 if edge == 1 else -1] = keys[at[0 if edge == 1 else -1]].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.full(len(at), part), np.full(len(at), edge), ahead[at], ends, doc[at], pos[at], n[at], shared, pos[at], pos[at]), types, strict=True)], names)
-
-    return run
-
-
-def _edge_spans(rows: list, anchor: int, least: int) -> list[tuple[int, int, int]]:
-    """Spans between the last run of a partition and the first of the next that has rows."""
-    heads: dict[int, list] = {}
-    tails: dict[int, list] = {}
-    for r in rows:
-        (heads if r.edge == 1 else tails).setdefault(r.part, []).append(r)
-    out, parts = [], sorted(heads)
-    for a, b in zip(parts, parts[1:], strict=False):
-        left, right = tails[a], heads[b]
-        x, y = (next(r for r in side if r.key is not None) for side in (left, right))
-        if x.ahead != y.ahead or x.doc == y.doc:
-            continue
-        common = int(_common(np.frombuffer(x.key, ">u4")[None], np.frombuffer(y.key, ">u4")[None])[0])
-        for r in [*left, *right]:
-            match = min(common, r.match)
-            if match >= anchor:
-                lo, hi = _span(np.array([r.ahead]), np.array([r.pos]), np.array([r.n]), np.array([match]), anchor)
-                out.append((r.doc, int(lo[0]), int(hi[0])))
-    return out
-
-
-def _joined(least: int, overlap: int):
-    """Spans sorted by document and start, joined where they overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
-        for b in batches:
-            for doc, lo, hi in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if now and now[0] == doc and lo <= now[2] - overlap:
-                    now[2] = max(now[2], hi)
-                else:
-                    if now and now[2] - now[1] >= least:
-                        out.append(now)
-                    now = [doc, lo, hi]
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc", "start_word", "end_word"])
-                out = []
-        if now and now[2] - now[1] >= least:
-            out.append(now)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc", "start_word", "end_word"])
-
-    return run
-
-
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, width: int = WIDTH, overlap: int = OVERLAP, task_rows: int = TASK_ROWS) -> DataFrame:
-    """id, start_word, end_word (exclusive) of each stretch of anchor + width - 1 words or more that other documents have too."""
-    spark = docs.sparkSession
-    least = anchor + width - 1
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), whole_text(text_col).alias("text"))
-    hashes = stored(rows.select("text").mapInArrow(_anchor_hashes(anchor, width), "h1 long, h2 long"), "anchors")
-    maybe = RepeatFilter(hashes, hashes.count()).tester()
-    kept = stored(rows.mapInArrow(_suffixes(anchor, width, maybe), "ahead boolean, key binary, doc long, pos int, n int"), "suffixes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // task_rows))
-    order = ["ahead", "key", "doc", "pos"]
-    sorted_ = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = stored(sorted_.mapInArrow(_compared(anchor, width), "part int, edge int, ahead boolean, key binary, doc long, pos int, n int, match int, lo int, hi int"), "matches")
-    edges = _edge_spans(found.where("edge > 0").collect(), anchor, least)
-    spans = found.where("edge = 0").select("doc", "lo", "hi")
+def compare(t: pa.Table, edges: bool) -> Iterator[pa.RecordBatch]:
+    """What sorted suffixes share with their nearest neighbours of other documents; with edges, also the rows that next partitions need."""
+    n = len(t)
+    ahead, h1, h2, who, many, before, after = (t[c].to_numpy() for c in ("ahead", "h1", "h2", "who", "many", "before", "after"))
+    keys = np.frombuffer(b"".join(t["key"].to_pylist()), ">u4").reshape(n, 2 * BACK)
+    same = (h1[1:] == h1[:-1]) & (ahead[1:] == ahead[:-1])
+    group = np.append(0, np.cumsum(~same))
+    # a context of many documents is a neighbour of its own kind
+    run = np.append(0, np.cumsum(~same | (who[1:] != who[:-1]) | many[1:] | many[:-1]))
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    ends = np.append(first[1:], n)
+    most = np.zeros((2, n), np.int64)
+    counts = np.zeros((2, n), np.int64)
+    for other in (first[run] - 1, ends[run]):
+        ok = np.flatnonzero((other >= 0) & (other < n))
+        ok = ok[group[other[ok]] == group[ok]]
+        a, b = keys[ok], keys[other[ok]]
+        one, two = _common(a[:, :BACK], b[:, :BACK]), _common(a[:, BACK:], b[:, BACK:])
+        right = np.minimum(ANCHOR + np.where(ahead[ok], one, two), after[ok])
+        left = np.minimum(np.where(ahead[ok], two, one), before[ok])
+        most[0, ok] = np.maximum(most[0, ok], np.where(ahead[ok], 0, left))
+        most[1, ok] = np.maximum(most[1, ok], np.where(ahead[ok], right, 0))
+        enough = left + right >= LEAST
+        counts[0, ok] = np.maximum(counts[0, ok], np.where(enough, left, 0))
+        counts[1, ok] = np.maximum(counts[1, ok], np.where(enough, right, 0))
+    some = most.any(axis=0) & ~many
+    columns = [h1[some], h2[some], *(x[some].astype(np.int32) for x in (*most, *counts)), np.zeros(int(some.sum()), bool)]
+    schema = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]]) for x in FOUND.split(", ")])
+    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.nulls(int(some.sum()), f.type) for f in list(schema)[7:])], schema=schema)
     if edges:
-        spans = spans.unionByName(spark.createDataFrame(edges, "doc long, lo int, hi int"))
-    dealt = spans.distinct().repartition("doc").sortWithinPartitions("doc", "lo", "hi")
-    return dealt.mapInArrow(_joined(least, overlap), "doc long, start_word long, end_word long").withColumnRenamed("doc", id_col)
+        # at either end: the run of one document and the row behind it, of one anchor
+        top = np.flatnonzero((run <= 1) & (group == 0))
+        top = top[: int((run[top] == 0).sum()) + 1]
+        low = np.flatnonzero((run >= run[-1] - 1) & (group == group[-1]))
+        low = low[-(int((run[low] == run[-1]).sum()) + 1) :]
+        at = pa.array(np.union1d(top, low))
+        rows = [t[c].take(at).combine_chunks() for c in (x.split()[0] for x in SUFFIXES.split(", "))]
+        rows = [r.chunk(0) if isinstance(r, pa.ChunkedArray) else r for r in rows]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), f.type) for f in list(schema)[:6]), pa.array(np.ones(len(at), bool)), *rows], schema=schema)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = list(batches)
+    if sum(b.num_rows for b in found):
+        yield from compare(pa.Table.from_batches(found).combine_chunks(), True)
+
+
+def _edges_compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted edge rows, by anchor: a task compares as many whole anchors at a time as make TASK_ROWS."""
+    held: list[pa.Table] = []
+    for b in batches:
+        held.append(pa.Table.from_batches([b]))
+        if sum(map(len, held)) >= TASK_ROWS:
+            t = pa.concat_tables(held).combine_chunks()
+            h1, ahead = t["h1"].to_numpy(), t["ahead"].to_numpy()
+            cut = np.flatnonzero((h1 != h1[-1]) | (ahead != ahead[-1]))
+            if len(cut):
+                yield from compare(t.slice(0, cut[-1] + 1).combine_chunks(), False)
+                t = t.slice(cut[-1] + 1)
+            held = [t]
+    if held:
+        yield from compare(pa.concat_tables(held).combine_chunks(), False)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans sorted by row and start, united where they overlap or touch."""
+    names, now, out = ["id", "start_word", "end_word"], None, []
+    for b in batches:
+        for file, row, doc, lo, hi in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if now and now[0] == (file, row) and lo <= now[3]:
+                now[3] = max(now[3], hi)
+            else:
+                if now:
+                    out.append(now[1:])
+                now = [(file, row), doc, lo, hi]
+        if len(out) > 5000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+            out = []
+    if now:
+        out.append(now[1:])
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+
+
+def _window_matches(suffixes: DataFrame, open_: DataFrame) -> DataFrame:
+    """h1, h2, before, after: the best windows of the contexts in open_ (h1, h2), by looking all windows of their anchors up."""
+    rows = suffixes.where("ahead").join(open_.select("h1").distinct(), "h1", "left_semi")
+    window = F.concat(F.expr(f"substring(key, {4 * BACK + 1}, 4 * b)"), F.expr(f"substring(key, 1, 4 * ({BACK} - b))"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(BACK - 1))).alias("b")).where(f"b <= before AND {LEAST} - b <= after")
+    each = stored(each.select("h1", "h2", "who", "many", "b", F.xxhash64("b", "h1", window).alias("w1"), F.xxhash64(window, "h1", "b").alias("w2")), "windows")
+    shared = each.groupBy("w1", "w2").agg(F.min("who").alias("a"), F.max("who").alias("z"), F.max("many").alias("any")).where("any OR a < z").select("w1", "w2")
+    shared = stored(shared, "shared-windows")
+    hit = each.join(shared, ["w1", "w2"]).join(open_.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    return hit.groupBy("h1", "h2").agg(F.max("b").alias("before"), (LEAST - F.min("b")).alias("after"))
+
+
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_rows: int = TASK_ROWS, filter_bytes: int = 64 << 20, dealt_rows: int = 2_000_000) -> DataFrame:
+    """id, start_word, end_word (exclusive) of each longest stretch of words that lie in LEAST successive ones that other documents have too."""
+    spark = docs.sparkSession
+    table = Rows(docs)
+    file, row = (F.col(c) for c in table.key)
+    rows = table.keyed().select(whole_text(text_col).alias("text"), file.alias("file"), row.alias("row"), F.col(id_col).cast("long").alias("id"))
+
+    narrow = stored(rows.mapInArrow(_narrow, NARROW), "anchors")
+    # the filter's two hashes are both of the anchor
+    hashed = narrow.withColumnRenamed("h2", "context").withColumn("h2", F.xxhash64("h1"))
+    maybe = RepeatFilter(hashed, narrow.count(), filter_bytes, dealt_rows).flagged("maybe").where("maybe")
+    narrow = stored(maybe.select("file", "row", "id", "n", "h1", F.col("context").alias("h2"), "lo", "hi"), "possible")
+
+    who = F.xxhash64("file", "row")
+    contexts = narrow.groupBy("h1", "h2").agg(F.min(who).alias("who"), F.max(who).alias("last"), F.min(F.struct("file", "row", "lo")).alias("at"))
+    contexts = stored(contexts.select("h1", "h2", "who", (F.col("who") < F.col("last")).alias("many"), F.greatest("who", "last").alias("last"), "at"), "contexts")
+    mixed = contexts.groupBy("h1").agg(F.min("who").alias("a"), F.max("last").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z AND n > 1").select("h1")
+    # both sides of these joins are written, so that AQE can split a common anchor, window or context
+    picked = stored(contexts.join(stored(mixed, "mixed"), "h1").select("at.file", "at.row", F.struct("at.lo", "h1", "h2", "who", "many").alias("pick")), "picked")
+
+    uri, buckets = scratch(spark, "picks"), max(1, picked.count() // BUCKET_POSITIONS)
+    write_buckets(picked, buckets, BLOCK_BITS, uri)
+    texts = rows.select("text", "file", "row", bucket_of(F.col("file"), F.col("row"), buckets, BLOCK_BITS).alias("bucket"))
+    suffixes = stored(texts.mapInArrow(_suffixes(uri), SUFFIXES), "suffixes")
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // task_rows))
+    order = ["ahead", "h1", "key"]
+    found = stored(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_compared, FOUND), "matches")
+    edges = found.where("edge").select(*(F.col(f"edge_{c}" if c in ("h1", "h2", "before", "after") else c).alias(c) for c in (x.split()[0] for x in SUFFIXES.split(", ")))).distinct()
+    again = edges.repartition("ahead", "h1").sortWithinPartitions(*order).mapInArrow(_edges_compared, FOUND)
+    both = found.where("NOT edge").unionByName(again).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in ("most_before", "most_after", "before", "after")])
+    matches = stored(both.where(f"most_before + most_after >= {LEAST}"), "best-matches")
+    open_ = matches.where("before < most_before OR after < most_after")
+    looked_up = _window_matches(suffixes, open_)
+    some = matches.select("h1", "h2", "before", "after").unionByName(looked_up).groupBy("h1", "h2").agg(F.max("before").alias("before"), F.max("after").alias("after")).where("after > 0")
+
+    # contexts of many documents are repeated whole
+    whole = contexts.where("many").select("h1", "h2", F.lit(BACK).alias("before"), F.lit(LEAST).alias("after"))
+    reach = stored(some.unionByName(whole), "reach")
+    spans = narrow.join(reach, ["h1", "h2"]).select("file", "row", "id", F.greatest(F.lit(0), F.col("lo") - F.col("before")).alias("lo"), F.least("n", F.col("hi") + F.col("after")).alias("hi"))
+    dealt = spans.where(f"hi - lo >= {LEAST}").repartition("file", "row").sortWithinPartitions("file", "row", "lo", "hi")
+    return dealt.mapInArrow(_united, "id long, start_word long, end_word long").withColumnRenamed("id", id_col)
