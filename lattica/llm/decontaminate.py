@@ -1,49 +1,62 @@
 """Benchmark decontamination by templates.
 
 Texts become templates: numbers, units after numbers, and names (capitalised words inside a
-sentence) turn into typed placeholders, other words are lower-cased and hashed, punctuation is left out. The
-windows of ``window`` template tokens of a benchmark block make a sorted hash table (a capitalised word that begins a
-sentence is read both as a word and as a name); the windows of
-every document probe it where the document is read, so no document is shuffled. Windows with fewer
-than ``literals`` plain words are left out on both sides.
+sentence) turn into typed placeholders, other words are lower-cased and hashed, punctuation is left out. A capitalised word that
+begins a sentence is read both as a word and as a name. Windows of WINDOW template tokens with LITERALS plain words or more are hash-joined:
+
+1. The windows of all items are written, and a bit filter of them, of at most ``filter_bytes`` whatever the benchmark's size.
+2. One pass over the documents leaves the windows that pass the filter (hits), each with its tokens' values. Texts are not shuffled.
+3. An item must be covered in ``similarity`` of its tokens. So a document that has none of the windows over some
+   tokens, more than the rest of them, cannot leak it. For each item those tokens are chosen whose windows have the fewest hits, and only
+   documents with one of these windows are joined with the item: phrases that everybody uses join nothing.
+4. All hits of the document and item pairs left are joined, and slots are checked.
 
 The hits of a document and an item that lie within ``gap`` tokens of each other are a candidate passage. It counts as
-a leak if its windows cover ``similarity`` of the item's tokens that windows can cover, and its slots are
+a leak if its windows cover ``similarity`` of the item's tokens, and its slots are
 consistent: a value of the item always stands for the same value of the document and the other
 way round, in ``agreement`` of the slots. Where the slots of all its hits are not, the hits are chained along rising positions of
 document and item, and each chain is a passage of its own: an item may repeat a window with other
 values, and variants of it may follow one another. So a question asked with other numbers and names is caught, and a
 mere likeness of form is not.
 
-Bounds: the table of a block has the windows of at most ``block_chars`` characters of benchmark
-text; a larger benchmark takes several passes, by hash of item_id. Items with equal templates and
-values are one item, with the smallest item_id.
+Items that windows can't cover so far (short ones, and those of numbers and names nearly alone) are joined by a hash of all
+their values, of any length: they leak where some successive sentences or lines of a document are the same, word for word and number for number; items of fewer
+than SENTENCE tokens only where the whole text is.
+
+Items with equal templates and values are one item, with the smallest item_id.
 
-Defined cases: null texts are empty. Texts and items with fewer tokens than a window have no hits. Rows that
+Defined cases: null texts are empty, and an item without tokens is not used. Rows that
 repeat an id give rows of their own. Null item ids are not used; a null document id stays null. Empty tables give no rows.
+Ties between passages: the one that begins first. Columns that clash in name don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import whole_text, without
+from lattica.llm.shared import Rows, open_fs, scratch, stored, whole_text
 
 WINDOW = 5
-LITERALS = 3
+LITERALS = 2
 SIMILARITY = 0.8
 AGREEMENT = 0.9
 GAP = 20
 SHIFT = 0.1
-MAYBE = np.uint64(1 << 22)
-BLOCK_CHARS = 32 << 20
+SENTENCE = 3
+BATCH = 500
+FILTER_BYTES = 64 << 20
+PROBES = 3
+SLICE = 1 << 17
 
 #: Units that count as such after a number.
 UNITS = set(
@@ -55,17 +68,21 @@ UNITS = set(
 )
 TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 CAPITAL, NUMBER, UNIT, ENDS, BREAK = 1, 2, 4, 8, 16
-SLOT = np.array([xxhash.xxh64_intdigest(x) for x in ("<number>", "<unit>", "<name>")], np.uint64)
+#: Flags of a token: it is a slot; it is capitalised and begins a sentence; a sentence begins with it; one ends with it.
+IS_SLOT, IS_INITIAL, FIRST, LAST = 1, 2, 4, 8
+NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<number>", "<unit>", "<name>"))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-class Templates:
-    """Template tokens of texts; pieces between spaces that were seen before are looked up."""
+class Pieces:
+    """Value hashes and kinds of the tokens of pieces between spaces; pieces seen before are looked up."""
 
     def __init__(self, most: int = 300_000):
-        self.pieces: dict[str, tuple[bytes, bytes]] = {"": (b"", b""), "\n": (bytes(8), bytes([BREAK]))}
+        self.known: dict[str, tuple[bytes, bytes]] = {"": (b"", b""), "\n": (bytes(8), bytes([BREAK]))}
         self.most = most
 
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
+    def piece(self, piece: str) -> tuple[bytes, bytes]:
         hashes, kinds = [], bytearray()
         for token in TOKEN.findall(piece):
             low = token.lower()
@@ -75,90 +92,261 @@ class Templates:
             if kinds:
                 kinds[-1] |= ENDS
         got = (np.array(hashes, np.uint64).tobytes(), bytes(kinds))
-        if len(piece) <= 64 and len(self.pieces) < self.most:
-            self.pieces[piece] = got
+        if len(piece) <= 64 and len(self.known) < self.most:
+            self.known[piece] = got
         return got
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Template hashes, value hashes, which tokens are slots, and which capitalised words begin a sentence."""
-        known = self.pieces
-        got = [known[p] if p in known else self._piece(p) for p in text.replace("\n", " \n ").split(" ")]
-        values = np.frombuffer(b"".join([x[0] for x in got]), np.uint64)
-        kinds = np.frombuffer(b"".join([x[1] for x in got]), np.uint8)
-        before = np.concatenate([[BREAK], kinds[:-1]]).astype(np.uint8) if len(kinds) else kinds
+
+@lru_cache(maxsize=1)
+def _pieces() -> Pieces:
+    """One for each Python worker."""
+    return Pieces()
+
+
+class Templates:
+    """The tokens of some texts one after another: text, template hash, value hash and flags of each, and where a text's begin."""
+
+    def __init__(self, texts: list[str]):
+        pieces = _pieces()
+        known, make = pieces.known, pieces.piece
+        values_, kinds_, sizes = [], [], []
+        for text in texts:
+            before = len(kinds_)
+            kinds_.append(known["\n"][1])
+            values_.append(known["\n"][0])
+            for p in text.replace("\n", " \n ").split(" "):
+                if p:
+                    got = known.get(p) or make(p)
+                    values_.append(got[0])
+                    kinds_.append(got[1])
+            sizes.append(sum(map(len, kinds_[before:])))
+        values = np.frombuffer(b"".join(values_), np.uint64)
+        kinds = np.frombuffer(b"".join(kinds_), np.uint8)
+        before, after = np.append(BREAK, kinds[:-1]).astype(np.uint8), np.append(kinds[1:], BREAK).astype(np.uint8)
         number = kinds & NUMBER > 0
         unit = (kinds & UNIT > 0) & (before & NUMBER > 0)
         capital = (kinds & CAPITAL > 0) & ~unit
-        name = capital & (before & (ENDS | BREAK) == 0)
-        out = np.where(number, SLOT[0], np.where(unit, SLOT[1], np.where(name, SLOT[2], values)))
+        first = before & (ENDS | BREAK) > 0
+        name = capital & ~first
+        template = np.where(number, NUMBER_SLOT, np.where(unit, UNIT_SLOT, np.where(name, NAME_SLOT, values)))
+        flags = IS_SLOT * (number | unit | name) + IS_INITIAL * (capital & ~name) + FIRST * first + LAST * ((kinds & ENDS > 0) | (after & BREAK > 0))
         own = kinds & BREAK == 0
-        return out[own], values[own], (number | unit | name)[own], (capital & ~name)[own]
+        self.text = np.repeat(np.arange(len(texts)), sizes)[own]
+        self.template, self.values, self.flags = template[own], values[own], flags[own].astype(np.uint8)
+        self.begin = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all windows with enough plain words, in either reading of words that begin sentences."""
+        n = len(self.text) - WINDOW + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        inside = self.text[WINDOW - 1 :] == self.text[:n]
+        slot, initial = self.flags & IS_SLOT > 0, self.flags & IS_INITIAL > 0
+        sums = [np.append(0, np.cumsum(x)) for x in (~slot, ~(slot | initial), initial)]
+        plain, named, any_ = (x[WINDOW:] - x[:-WINDOW] for x in sums)
+        starts = [np.flatnonzero(inside & (plain >= LITERALS)), np.flatnonzero(inside & (named >= LITERALS) & (any_ > 0))]
+        hashes = [_window_hashes(self.template, starts[0]), _window_hashes(np.where(initial, NAME_SLOT, self.template), starts[1])]
+        return np.concatenate(starts), np.concatenate(hashes)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """From these the hash of the values of any run follows: see ``run_hashes``."""
+        powers = np.cumprod(np.full(len(self.values) + 1, BASE))
+        return np.append(np.uint64(0), np.cumsum(self.values * powers[:-1])), np.cumprod(np.full(len(self.values) + 1, BACK))
+
+    def wholes(self, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, lengths and hashes of the values of successive sentences that have one of the lengths."""
+        found = [], [], []
+        if lengths and len(self.values):
+            sums = self.sums()
+            first, last = np.flatnonzero(self.flags & FIRST), self.flags & LAST > 0
+            for n in lengths:
+                at = first[first + n <= len(self.text)]
+                at = at[last[at + n - 1] & (self.text[at] == self.text[at + n - 1])]
+                if n < SENTENCE:
+                    own = self.text[at]
+                    at = at[(self.begin[own] == at) & (self.begin[own + 1] == at + n)]
+                found[0].append(at)
+                found[1].append(np.full(len(at), n))
+                found[2].append(run_hashes(sums, at, n))
+        return tuple(np.concatenate([np.zeros(0, k), *x]) for x, k in zip(found, (np.int64, np.int64, np.uint64), strict=True))
+
+
+def _window_hashes(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(starts), np.uint64)
+    for i in range(WINDOW):
+        h = h * BASE + tokens[starts + i]
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def windows(template: np.ndarray, slots: np.ndarray, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows with enough plain words."""
-    n = len(template) - window + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(window):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + template[i : i + n]
-        h ^= h >> np.uint64(29)
-    plain = np.concatenate([[0], np.cumsum(~slots)])
-    starts = np.flatnonzero(plain[window:] - plain[:-window] >= literals)
-    return starts, h[starts]
-
-
-def named_windows(template: np.ndarray, slots: np.ndarray, initial: np.ndarray, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows with a capitalised word that begins a sentence, with it as a name."""
-    n = len(template) - window + 1
-    if n < 1 or not initial.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    plain, first = np.cumsum(np.append(False, ~(slots | initial))), np.cumsum(np.append(False, initial))
-    starts = np.flatnonzero((plain[window:] - plain[:-window] >= literals) & (first[window:] > first[:-window]))
-    named, h = np.where(initial, SLOT[2], template), np.zeros(len(starts), np.uint64)
-    for i in range(window):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + named[starts + i]
-        h ^= h >> np.uint64(29)
-    return starts, h
-
-
-class Table:
-    """The windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, literals: int = LITERALS):
-        self.window, self.literals = window, literals
-        make, seen = Templates(), {}
-        for i, text in sorted(items):
-            t = make(text)
-            starts, h = (np.concatenate(x) for x in zip(windows(t[0], t[2], window, literals), named_windows(*(t[k] for k in (0, 2, 3)), window, literals), strict=True))
-            if len(starts):
-                seen.setdefault((t[0].tobytes(), t[1].tobytes()), (i, t, starts, h))
-        self.items = [x[0] for x in seen.values()]
-        self.values = [x[1][1] for x in seen.values()]
-        self.slots = [x[1][2] for x in seen.values()]
-        self.initial = [x[1][3] for x in seen.values()]
-        self.coverable = [len(covered(x[2], window)) for x in seen.values()]
-        hashes = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in seen.values())])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.maybe = np.zeros(MAYBE, bool)
-        self.maybe[hashes % MAYBE] = True
-        self.item = np.repeat(np.arange(len(seen)), [len(x[2]) for x in seen.values()])[order]
-        self.start = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in seen.values())])[order]
-
-    def hits(self, starts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document start, item and item start of each pair of equal windows."""
-        maybe = self.maybe[h % MAYBE]
-        starts, h = starts[maybe], h[maybe]
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(starts, n), self.item[at], self.start[at]
-
-
-def covered(starts: np.ndarray, window: int) -> np.ndarray:
-    return np.unique(starts[:, None] + np.arange(window))
+def run_hashes(sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n values from each position on, whatever stands before."""
+    h = (sums[0][at + n] - sums[0][at]) * sums[1][at]
+    return h ^ (h >> np.uint64(31)) ^ np.uint64(n)
+
+
+def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for i in range(PROBES):
+        yield (h * BASE >> np.uint64(11 * i)) & np.uint64(bits - 1)
+
+
+ITEMS = "item long, size int, one long, two long, template binary, values binary, flags binary"
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of items, from (item, text)."""
+    names = [x.split()[0] for x in ITEMS.split(", ")]
+    for b in batches:
+        for lo in range(0, b.num_rows, BATCH):
+            own = b.slice(lo, BATCH)
+            t = Templates(own.column(1).to_pylist())
+            rows = []
+            for item, x, y in zip(own.column(0).to_pylist(), t.begin[:-1].tolist(), t.begin[1:].tolist(), strict=True):
+                if y > x:
+                    parts = [a[x:y].tobytes() for a in (t.template, t.values, t.flags)]
+                    rows.append((item, y - x, xxhash.xxh64_intdigest(parts[0] + parts[1]) - (1 << 63), xxhash.xxh64_intdigest(parts[0] + parts[1], 1) - (1 << 63), *parts))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], names)
+
+
+ITEM_WINDOWS = "h long, n int, item long, start int, size int, item_values binary, item_flags binary"
+
+
+def _windows_of(values: np.ndarray, flags: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    at = starts[:, None] + np.arange(WINDOW)
+    return list(map(bytes, values[at])), list(map(bytes, flags[at]))
+
+
+def _item_windows(similarity: float):
+    """The windows of items that they cover, and a hash of all values of others (n: its length; 0 for windows)."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("item", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("item_values", pa.binary()), ("item_flags", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                t = Templates([])
+                t.template, t.values = np.frombuffer(r["template"], np.uint64), np.frombuffer(r["values"], np.uint64)
+                t.flags, t.text = np.frombuffer(r["flags"], np.uint8), np.zeros(r["size"], np.int64)
+                starts, h = t.windows()
+                if len(covered(starts)) >= similarity * r["size"]:
+                    values, flags = _windows_of(t.values, t.flags, starts)
+                    n = 0
+                else:
+                    starts, n, h = np.zeros(1, np.int64), r["size"], run_hashes(t.sums(), np.zeros(1, np.int64), r["size"])
+                    values = flags = [None]
+                columns = [h.view(np.int64), np.full(len(h), n, np.int32), np.full(len(h), r["item"]), starts.astype(np.int32), np.full(len(h), r["size"], np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(values, pa.binary()), pa.array(flags, pa.binary())], schema=schema)
+
+    return run
+
+
+def covered(starts: np.ndarray) -> np.ndarray:
+    return np.unique(starts[:, None] + np.arange(WINDOW))
+
+
+def _slice_bits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(SLICE, bool)
+    bits[rows["at"].to_numpy() % SLICE] = True
+    return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def _write_filter(windows: DataFrame, bits: int, uri: str) -> None:
+    """The bits of all window hashes, in slices, built by executors."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*_probes(h, bits)])).astype(np.int64))], ["at"])
+
+    at = windows.select("h").mapInArrow(places, "at long").distinct()
+    at.groupBy((F.col("at") / SLICE).cast("long").alias("slice")).applyInPandas(_slice_bits, "slice long, bits binary").write.parquet(uri)
+
+
+@lru_cache(maxsize=1)
+def _read_filter(uri: str, bits: int) -> np.ndarray:
+    """The bits again: at most as many bytes as the filter may have, in each Python worker."""
+    out = np.zeros(bits // 8, np.uint8)
+    fs, path = open_fs(uri)
+    found = pq.read_table(path, filesystem=fs)
+    for k, data in zip(found["slice"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[k * SLICE // 8 : (k + 1) * SLICE // 8] = np.frombuffer(data, np.uint8)
+    return out
+
+
+def _passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that the filter has."""
+    left = np.arange(len(h))
+    for at in _probes(h, 8 * len(bits)):
+        own = at[left].astype(np.int64)
+        left = left[(bits[own >> 3] >> (own & 7).astype(np.uint8)) & 1 > 0]
+    return left
+
+
+HITS = "file long, row long, id long, h long, n int, start int, text_values binary, text_flags binary"
+
+
+def _hits(uri: str, bits: int, lengths: list[int]):
+    """Windows and whole sentences of documents that pass the filter, from (text, file, row, id)."""
+    names = [x.split()[0] for x in HITS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_filter = _read_filter(uri, bits)
+        for b in batches:
+            for lo in range(0, b.num_rows, BATCH):
+                own = b.slice(lo, BATCH)
+                t = Templates(own.column(0).to_pylist())
+                starts, h = t.windows()
+                left = _passing(own_filter, h)
+                whole = t.wholes(lengths)
+                also = _passing(own_filter, whole[2])
+                if not len(left) + len(also):
+                    continue
+                values, flags = _windows_of(t.values, t.flags, starts[left])
+                at = np.concatenate([starts[left], whole[0][also]])
+                text = t.text[at]
+                rows = pa.array(text)
+                columns = [*(own.column(i).take(rows) for i in (1, 2, 3)), pa.array(np.concatenate([h[left], whole[2][also]]).view(np.int64))]
+                columns += [pa.array(np.concatenate([np.zeros(len(left), np.int32), whole[1][also].astype(np.int32)])), pa.array((at - t.begin[text]).astype(np.int32))]
+                none = [None] * len(also)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(values + none, pa.binary()), pa.array(flags + none, pa.binary())], names)
+
+    return run
+
+
+def rarest(starts: np.ndarray, weights: np.ndarray, size: int, similarity: float) -> np.ndarray:
+    """Which windows a document must have one of, to cover so much of an item: those over some successive tokens, with the least weight."""
+    need = size - int(np.ceil(similarity * size - 1e-9)) + 1  # without these too few are left
+    here = np.bincount(starts, weights, size)
+    sums = np.append(0, np.cumsum(here))
+    lo = np.arange(size - need + 1)
+    begin = np.maximum(0, lo - WINDOW + 1)
+    best = int(np.argmin(sums[lo + need] - sums[begin]))
+    return np.flatnonzero((starts >= begin[best]) & (starts < best + need))
+
+
+def _chosen(similarity: float):
+    """h, item of the windows that decide which documents to join, from sorted (item, size, start, h, weight)."""
+
+    def one(rows: list[tuple]) -> list[tuple]:
+        item, size = rows[0][:2]
+        pick = rarest(np.array([r[2] for r in rows]), np.array([r[4] for r in rows], float), size, similarity)
+        return sorted({(rows[i][3], item) for i in pick.tolist()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            out: list[tuple] = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][0] != r[0]:
+                    out += one(held)
+                    held = []
+                held.append(r)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["h", "item"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*one(held), strict=True)], ["h", "item"])
+
+    return run
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> float:
@@ -203,92 +391,127 @@ def chains(d: np.ndarray, q: np.ndarray, reach: int) -> list[np.ndarray]:
 
 
 def one_to_one(pairs: np.ndarray) -> np.ndarray:
-    """Sorted (document, item) tokens without those that fall back or repeat on either side."""
+    """Which of the sorted (document, item) tokens don't fall back or repeat on either side."""
     out, d, q = [], -1, -1
-    for x, y in pairs.tolist():
+    for k, (x, y) in enumerate(pairs.tolist()):
         if x > d and y > q:
-            out.append((x, y))
+            out.append(k)
             d, q = x, y
-    return np.array(out, np.int64).reshape(-1, 2)
+    return np.array(out, np.int64)
 
 
-def leaks(table: Table, templates: Templates, text: str, similarity: float = SIMILARITY, agreement: float = AGREEMENT, gap: int = GAP) -> list[tuple]:
-    """item_id, start and end token, similarity, agreement and whether all values are the item's, for each leaked item's best passage."""
-    template, values, slots, initial = templates(text)
-    best: dict[int, tuple] = {}
-    plain = table.hits(*windows(template, slots, table.window, table.literals))
-    named = table.hits(*named_windows(template, slots, initial, table.window, table.literals))
+def best_passage(hits: dict[str, np.ndarray], size: int, similarity: float, agreement: float, gap: int) -> tuple | None:
+    """Start, end, similarity, agreement and whether all values are the item's, of the best passage of a document and an item, if it is a leak.
 
-    def passage(i: int, d: np.ndarray, q: np.ndarray, with_initial: bool, aligned: bool) -> tuple | None:
-        share = len(covered(q, table.window)) / table.coverable[i]
+    hits: d, q (window starts in document and item), and for each the tokens' values and flags on either side (dv, df, iv, if_; a row a hit).
+    """
+    order = np.lexsort((hits["q"], hits["d"]))
+    new = np.append(True, (np.diff(hits["d"][order]) != 0) | (np.diff(hits["q"][order]) != 0)) if len(order) else order
+    h = {k: v[order][new] for k, v in hits.items()}
+    step = np.arange(WINDOW)
+
+    def passage(at: np.ndarray, aligned: bool) -> tuple | None:
+        d, q = h["d"][at], h["q"][at]
+        share = len(covered(q)) / size
         if share < similarity:
             return None
-        both = np.unique(np.stack([(x[:, None] + np.arange(table.window)).ravel() for x in (d, q)], axis=1), axis=0)
+        pairs, which = np.unique(np.stack([(x[:, None] + step).ravel() for x in (d, q)], axis=1), axis=0, return_index=True)
         if aligned:
-            both = one_to_one(both)
-        a, b = table.values[i][both[:, 1]], values[both[:, 0]]
+            which = which[one_to_one(pairs)]
+        a, b, fa, fb = (h[k][at].ravel()[which] for k in ("iv", "dv", "if_", "df"))
         # a word that begins a sentence is a name only where it differs
-        item_slot, slot = table.slots[i][both[:, 1]], slots[both[:, 0]]
-        own = item_slot & slot
-        if with_initial:
-            own |= (item_slot | table.initial[i][both[:, 1]]) & (slot | initial[both[:, 0]]) & (a != b)
+        own = (fa & fb & IS_SLOT > 0) | ((fa & (IS_SLOT | IS_INITIAL) > 0) & (fb & (IS_SLOT | IS_INITIAL) > 0) & (a != b))
         a, b = a[own], b[own]
-        return (table.items[i], int(d[0]), int(d[-1]) + table.window, share, agreeing(a, b), bool((a == b).all()))
-
-    def search(starts: np.ndarray, item: np.ndarray, at: np.ndarray, with_initial: bool) -> None:
-        order = np.lexsort((at, starts, item))
-        starts, item, at = starts[order], item[order], at[order]
-        edges = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(starts, prepend=0) > gap + table.window))
-        for lo, hi in zip(edges, [*edges[1:], len(item)], strict=True):
-            i, d, q = int(item[lo]), starts[lo:hi], at[lo:hi]
-            whole = passage(i, d, q, with_initial, False)
-            if whole is None:
-                continue
-            # hits that don't agree as they are may be several passages, or repeat a window of the item
-            rows = [whole] if whole[4] >= agreement else [passage(i, d[c], q[c], with_initial, True) for c in chains(d, q, gap + table.window)]
-            for row in rows:
-                if row and row[4] >= agreement and (i not in best or (-row[3], row[1]) < (-best[i][3], best[i][1])):
-                    best[i] = row
-
-    if len(plain[0]):
-        search(*plain, False)
-    both = [np.concatenate(x) for x in zip(plain, named, strict=True)]
-    left = np.isin(both[1], named[1]) & ~np.isin(both[1], list(best))
-    if left.any():
-        search(*(x[left] for x in both), True)
-    return sorted(best.values())
-
-
-def _search(table: Table, similarity: float, agreement: float, gap: int):
+        return int(d[0]), int(d[-1]) + WINDOW, share, agreeing(a, b), bool((a == b).all())
+
+    best = None
+    cuts = np.flatnonzero(np.diff(h["d"], prepend=h["d"][0]) > gap + WINDOW).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, len(h["d"])], strict=True):
+        at = np.arange(lo, hi)
+        whole = passage(at, False)
+        if whole is None:
+            continue
+        # hits that don't agree as they are may be several passages, or repeat a window of the item
+        rows = [whole] if whole[3] >= agreement else [passage(at[c], True) for c in chains(h["d"][at], h["q"][at], gap + WINDOW)]
+        for row in rows:
+            if row and row[3] >= agreement and (best is None or (-row[2], row[0]) < (-best[2], best[0])):
+                best = row
+    return best
+
+
+LEAKS = "file long, row long, id long, item_id long, start_token long, end_token long, similarity double, agreement double, verbatim boolean"
+
+
+def _decided(similarity: float, agreement: float, gap: int):
+    """Leaks of sorted (file, row, item, id, size, start, item_start, text_values, text_flags, item_values, item_flags)."""
+    names = [x.split()[0] for x in LEAKS.split(", ")]
+    kinds = [*[pa.int64()] * 6, pa.float64(), pa.float64(), pa.bool_()]
+
+    def one(t: pa.Table) -> tuple | None:
+        raw = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind).reshape(len(t), WINDOW)
+        hits = {"d": t["start"].to_numpy().astype(np.int64), "q": t["item_start"].to_numpy().astype(np.int64)}
+        if len(covered(hits["q"])) < similarity * t["size"][0].as_py():
+            return None
+        hits |= {"dv": raw("text_values", np.uint64), "df": raw("text_flags", np.uint8), "iv": raw("item_values", np.uint64), "if_": raw("item_flags", np.uint8)}
+        found = best_passage(hits, t["size"][0].as_py(), similarity, agreement, gap)
+        return found and (t["file"][0].as_py(), t["row"][0].as_py(), t["id"][0].as_py(), t["item"][0].as_py(), *found)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, own = Templates(), table.value
+        rest = None
         for b in batches:
-            rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in leaks(own, templates, t, similarity, agreement, gap)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "item_id", "start_token", "end_token", "similarity", "agreement", "verbatim"])
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            key = [t[c].to_numpy() for c in ("file", "row", "item")]
+            edges = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1).tolist()]
+            found = [x for lo, hi in zip(edges, edges[1:], strict=False) if (x := one(t.slice(lo, hi - lo)))]
+            rest = t.slice(edges[-1])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+        if rest is not None and len(rest) and (x := one(rest)):
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds, strict=True)], names)
 
     return run
 
 
+def _leaks(table: Rows, benchmark: DataFrame, id_col: str, text_col: str, similarity: float, agreement: float, gap: int, filter_bytes: int) -> DataFrame:
+    spark = benchmark.sparkSession
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item"), whole_text("text").alias("text")).mapInArrow(_items, ITEMS)
+    rest = F.struct("item", "template", "values", "flags")
+    items = items.groupBy("size", "one", "two").agg(F.min_by(rest, "item").alias("x")).select("size", "x.*")
+    windows = stored(items.select("item", "size", "template", "values", "flags").mapInArrow(_item_windows(similarity), ITEM_WINDOWS), "item-windows")
+    lengths = sorted(r.n for r in windows.where("n > 0").select("n").distinct().collect())  # no more than the longest item has tokens
+    bits = min(8 * filter_bytes, 1 << max(20, (8 * PROBES * windows.count()).bit_length()))
+    uri = scratch(spark, "window-filter")
+    _write_filter(windows, bits, uri)
+
+    file, row = (F.col(c) for c in table.key)
+    docs = table.keyed().select(whole_text(text_col).alias("text"), file.alias("file"), row.alias("row"), F.col(id_col).cast("long").alias("id"))
+    hits = stored(docs.mapInArrow(_hits(uri, bits, lengths), HITS), "hits")
+
+    weights = hits.where("n = 0").groupBy("h").agg(F.count(F.lit(1)).alias("weight"))
+    each = windows.where("n = 0").join(weights, "h", "left").select("item", "size", "start", "h", F.coalesce("weight", F.lit(0)).alias("weight"))
+    # both sides of these joins are written, so that AQE can split a common window
+    chosen = stored(each.repartition("item").sortWithinPartitions("item", "start").mapInArrow(_chosen(similarity), "h long, item long"), "rare-windows")
+    pairs = stored(hits.where("n = 0").select("file", "row", "h").join(chosen, "h").select("file", "row", "item").distinct(), "candidates")
+    own = windows.where("n = 0").select("h", "item", "size", F.col("start").alias("item_start"), "item_values", "item_flags")
+    all_ = hits.where("n = 0").join(pairs, ["file", "row"]).join(own, ["h", "item"])
+    all_ = all_.select("file", "row", "item", "id", "size", "start", "item_start", "text_values", "text_flags", "item_values", "item_flags")
+    found = all_.repartition("file", "row", "item").sortWithinPartitions("file", "row", "item").mapInArrow(_decided(similarity, agreement, gap), LEAKS)
+
+    same = hits.where("n > 0").join(windows.where("n > 0").select("h", "n", "item"), ["h", "n"])
+    same = same.groupBy("file", "row", "id", F.col("item").alias("item_id"), "n").agg(F.min("start").cast("long").alias("start_token"))
+    one = F.lit(1.0)
+    return found.unionByName(same.select("file", "row", "id", "item_id", "start_token", (F.col("start_token") + F.col("n")).alias("end_token"), one.alias("similarity"), one.alias("agreement"), F.lit(True).alias("verbatim")))
+
+
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, literals: int = LITERALS, similarity: float = SIMILARITY, agreement: float = AGREEMENT, gap: int = GAP, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, agreement: float = AGREEMENT, gap: int = GAP, filter_bytes: int = FILTER_BYTES
 ) -> DataFrame:
-    """A row for each document and benchmark item that leaked into it."""
-    spark = docs.sparkSession
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), whole_text("text").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars) or 1
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    out = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect() if blocks > 1 else items.collect()
-        table = spark.sparkContext.broadcast(Table([(r.item_id, r.text) for r in block], window, literals))
-        found = rows.mapInArrow(_search(table, similarity, agreement, gap), "id long, item_id long, start_token long, end_token long, similarity double, agreement double, verbatim boolean")
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("id", id_col)
+    """A row for each document and benchmark item that leaked into it: id, item_id, the best passage's start_token and end_token, similarity, agreement, verbatim."""
+    return _leaks(Rows(docs), benchmark, id_col, text_col, similarity, agreement, gap, filter_bytes).drop("file", "row").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without any leak."""
-    return without(docs, find_leaks(docs, benchmark, id_col, text_col).select(id_col).distinct(), id_col)
+    """The documents without any leak, with all their columns; each row is judged on its own text."""
+    rows = Rows(docs)
+    return rows.without(_leaks(rows, benchmark, id_col, text_col, SIMILARITY, AGREEMENT, GAP, FILTER_BYTES).select("file", "row").distinct())
