@@ -38,6 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import regex
 import xxhash
@@ -45,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.shared import Rows, open_fs, scratch, stored, whole_text
+from lattica.llm.words import byte_hashes, spans
 
 WINDOW = 5
 LITERALS = 2
@@ -53,7 +55,7 @@ AGREEMENT = 0.9
 GAP = 20
 SHIFT = 0.1
 SENTENCE = 3
-BATCH = 500
+BATCH = 1000
 FILTER_BYTES = 64 << 20
 PROBES = 3
 SLICE = 1 << 17
@@ -68,6 +70,9 @@ UNITS = set(
 )
 TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 CAPITAL, NUMBER, UNIT, ENDS, BREAK = 1, 2, 4, 8, 16
+KINDS = 31
+QUOTES, SENTENCE_ENDS = "\"')]»”’", (".", "!", "?", ":", "…")
+CLOSING = set(QUOTES) | set(SENTENCE_ENDS)
 #: Flags of a token: it is a slot; it is capitalised and begins a sentence; a sentence begins with it; one ends with it.
 IS_SLOT, IS_INITIAL, FIRST, LAST = 1, 2, 4, 8
 NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<number>", "<unit>", "<name>"))
@@ -75,53 +80,92 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-class Pieces:
-    """Value hashes and kinds of the tokens of pieces between spaces; pieces seen before are looked up."""
-
-    def __init__(self, most: int = 300_000):
-        self.known: dict[str, tuple[bytes, bytes]] = {"": (b"", b""), "\n": (bytes(8), bytes([BREAK]))}
-        self.most = most
-
-    def piece(self, piece: str) -> tuple[bytes, bytes]:
-        hashes, kinds = [], bytearray()
-        for token in TOKEN.findall(piece):
+def _kinds_of_bytes() -> np.ndarray:
+    """For each ASCII byte: 0 no part of a plain piece, 1 a small letter, 2 a capital, 3 ends a sentence, 4 a quote or bracket that may follow, 5 other punctuation."""
+    kind = np.zeros(256, np.uint8)
+    kind[0x21:0x7F] = 5
+    kind[ord("0") : ord("9") + 1] = 0
+    kind[ord("a") : ord("z") + 1], kind[ord("A") : ord("Z") + 1] = 1, 2
+    kind[[ord(c) for c in ".!?:"]], kind[[ord(c) for c in QUOTES if c.isascii()]] = 3, 4
+    return kind
+
+
+BYTES = _kinds_of_bytes()
+MOST_BYTES = 40
+
+
+def token_hashes(tokens: list[str]) -> np.ndarray:
+    """Value hashes of lower-case tokens; the low bits are free for the kind."""
+    return byte_hashes(*spans(pa.array([*tokens, ""], pa.string())))[:-1] & ~np.uint64(KINDS)
+
+
+UNIT_HASHES = np.sort(token_hashes(sorted(UNITS)))
+
+
+def _plain(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the pieces that are one word of Latin letters and ASCII punctuation after it, which these are, and which have punctuation only."""
+    data, start, end = spans(pieces)
+    data = np.append(data, np.uint8(0))  # so that an empty piece has a byte too
+    kind = BYTES[data]
+    # two-byte letters from U+00C0 on, without the signs for times and divided by
+    lead = np.append((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7), False)
+    tail = np.append(False, lead[:-1])
+    capital = (kind == 2) | (tail & (data < 0x9F))
+    letter = (kind == 1) | (kind == 2) | lead | tail
+    letters, marks = (np.append(0, np.cumsum(x, dtype=np.int32)) for x in (letter, kind >= 3))
+    n = end - start
+    n_letters, n_marks = letters[end] - letters[start], marks[end] - marks[start]
+    known = (n > 0) & (n <= MOST_BYTES) & (n_letters + n_marks == n)
+    last = kind[end - (n > 0)]
+    fit = np.flatnonzero(known & (n_letters > 0) & (letters[start + np.where(known, n_letters, 0)] - letters[start] == n_letters) & (last != 4))
+    s, e = start[fit], start[fit] + n_letters[fit]
+    values = byte_hashes(data | (capital << 5).astype(np.uint8), s, e) & ~np.uint64(KINDS)
+    at = np.minimum(np.searchsorted(UNIT_HASHES, values), len(UNIT_HASHES) - 1)
+    kinds = CAPITAL * capital[s + lead[s]] + UNIT * (UNIT_HASHES[at] == values) + ENDS * (last[fit] == 3)
+    return values | kinds.astype(np.uint64), fit, np.flatnonzero(known & (n_letters == 0) | (n == 0))
+
+
+def _tokens(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all pieces one after another, value hashes with kinds in the low bits, and how many each has."""
+    values, fit, empty = _plain(pieces)
+    n = np.full(len(pieces), -1)
+    n[fit], n[empty] = 1, 0
+    others = np.flatnonzero(n < 0)
+    tokens, kinds = [], []
+    for i, piece in zip(others.tolist(), pieces.take(pa.array(others)).to_pylist(), strict=True):
+        found = ["\n"] if piece == "\n" else TOKEN.findall(piece)
+        n[i] = len(found)
+        for token in found:
             low = token.lower()
-            hashes.append(xxhash.xxh64_intdigest(low))
-            kinds.append(NUMBER if token[0].isnumeric() else CAPITAL * token[0].isupper() | UNIT * (low in UNITS))
-        if piece.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":", "…"):
-            if kinds:
-                kinds[-1] |= ENDS
-        got = (np.array(hashes, np.uint64).tobytes(), bytes(kinds))
-        if len(piece) <= 64 and len(self.known) < self.most:
-            self.known[piece] = got
-        return got
-
-
-@lru_cache(maxsize=1)
-def _pieces() -> Pieces:
-    """One for each Python worker."""
-    return Pieces()
+            tokens.append(low)
+            kinds.append(BREAK if token == "\n" else NUMBER if token[0].isnumeric() else CAPITAL * token[0].isupper() | UNIT * (low in UNITS))
+        if found and piece[-1] in CLOSING and piece.rstrip(QUOTES)[-1:] in SENTENCE_ENDS:
+            kinds[-1] |= ENDS
+    out = np.zeros(int(n.sum()), np.uint64)
+    start = np.append(0, np.cumsum(n)[:-1])
+    out[start[fit]] = values
+    slow = np.repeat(start[others], n[others]) + np.arange(len(tokens)) - np.repeat(np.append(0, np.cumsum(n[others])[:-1]), n[others]) if len(tokens) else []
+    if len(tokens):
+        out[slow] = token_hashes(tokens) | np.array(kinds, np.uint64)
+    return out, n
 
 
 class Templates:
     """The tokens of some texts one after another: text, template hash, value hash and flags of each, and where a text's begin."""
 
-    def __init__(self, texts: list[str]):
-        pieces = _pieces()
-        known, make = pieces.known, pieces.piece
-        values_, kinds_, sizes = [], [], []
-        for text in texts:
-            before = len(kinds_)
-            kinds_.append(known["\n"][1])
-            values_.append(known["\n"][0])
-            for p in text.replace("\n", " \n ").split(" "):
-                if p:
-                    got = known.get(p) or make(p)
-                    values_.append(got[0])
-                    kinds_.append(got[1])
-            sizes.append(sum(map(len, kinds_[before:])))
-        values = np.frombuffer(b"".join(values_), np.uint64)
-        kinds = np.frombuffer(b"".join(kinds_), np.uint8)
+    def __init__(self, texts: list[str] | pa.Array):
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        # a break before each text and at each line's end
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n ", pc.replace_substring(column, "\n", " \n "), ""), " ")
+        found = lists.flatten().dictionary_encode()
+        offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() or 0)
+        flat, n = _tokens(found.dictionary) if len(found) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        at = found.indices.to_numpy()
+        each, first = n[at], np.append(0, np.cumsum(n)[:-1]).astype(np.int64)[at] if len(n) else np.zeros(0, np.int64)
+        before = np.append(0, np.cumsum(each)).astype(np.int64)
+        both = flat[np.repeat(first - before[:-1], each) + np.arange(before[-1])]
+        sizes = np.diff(before[offsets]) if len(texts) else np.zeros(0, np.int64)
+        values, kinds = both & ~np.uint64(KINDS), (both & np.uint64(KINDS)).astype(np.uint8)
         before, after = np.append(BREAK, kinds[:-1]).astype(np.uint8), np.append(kinds[1:], BREAK).astype(np.uint8)
         number = kinds & NUMBER > 0
         unit = (kinds & UNIT > 0) & (before & NUMBER > 0)
@@ -142,11 +186,13 @@ class Templates:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         inside = self.text[WINDOW - 1 :] == self.text[:n]
         slot, initial = self.flags & IS_SLOT > 0, self.flags & IS_INITIAL > 0
-        sums = [np.append(0, np.cumsum(x)) for x in (~slot, ~(slot | initial), initial)]
-        plain, named, any_ = (x[WINDOW:] - x[:-WINDOW] for x in sums)
-        starts = [np.flatnonzero(inside & (plain >= LITERALS)), np.flatnonzero(inside & (named >= LITERALS) & (any_ > 0))]
-        hashes = [_window_hashes(self.template, starts[0]), _window_hashes(np.where(initial, NAME_SLOT, self.template), starts[1])]
-        return np.concatenate(starts), np.concatenate(hashes)
+        sums = [np.append(0, np.cumsum(x, dtype=np.int32)) for x in (slot, initial)]
+        slots, initials = (x[WINDOW:] - x[:-WINDOW] for x in sums)
+        one = np.flatnonzero(inside & (slots <= WINDOW - LITERALS))
+        two = np.flatnonzero(inside & (initials > 0) & (slots + initials <= WINDOW - LITERALS))
+        h = _hashed([self.template[i : i + n] for i in range(WINDOW)])[one]
+        named = np.where(initial, NAME_SLOT, self.template)
+        return np.concatenate([one, two]), np.concatenate([h, _hashed([named[two + i] for i in range(WINDOW)])])
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
         """From these the hash of the values of any run follows: see ``run_hashes``."""
@@ -171,10 +217,11 @@ class Templates:
         return tuple(np.concatenate([np.zeros(0, k), *x]) for x, k in zip(found, (np.int64, np.int64, np.uint64), strict=True))
 
 
-def _window_hashes(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(starts), np.uint64)
-    for i in range(WINDOW):
-        h = h * BASE + tokens[starts + i]
+def _hashed(tokens: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(tokens[0]), np.uint64)
+    for t in tokens:
+        h *= BASE
+        h += t
         h ^= h >> np.uint64(29)
     return h
 
@@ -185,9 +232,9 @@ def run_hashes(sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, n: int) -> n
     return h ^ (h >> np.uint64(31)) ^ np.uint64(n)
 
 
-def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    for i in range(PROBES):
-        yield (h * BASE >> np.uint64(11 * i)) & np.uint64(bits - 1)
+def _probe(h: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """The place of the i-th bit of each hash."""
+    return ((h * BASE >> np.uint64(11 * i)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 ITEMS = "item long, size int, one long, two long, template binary, values binary, flags binary"
@@ -199,7 +246,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, BATCH):
             own = b.slice(lo, BATCH)
-            t = Templates(own.column(1).to_pylist())
+            t = Templates(own.column(1))
             rows = []
             for item, x, y in zip(own.column(0).to_pylist(), t.begin[:-1].tolist(), t.begin[1:].tolist(), strict=True):
                 if y > x:
@@ -256,7 +303,7 @@ def _write_filter(windows: DataFrame, bits: int, uri: str) -> None:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = b.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*_probes(h, bits)])).astype(np.int64))], ["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_probe(h, i, bits) for i in range(PROBES)])))], ["at"])
 
     at = windows.select("h").mapInArrow(places, "at long").distinct()
     at.groupBy((F.col("at") / SLICE).cast("long").alias("slice")).applyInPandas(_slice_bits, "slice long, bits binary").write.parquet(uri)
@@ -276,8 +323,8 @@ def _read_filter(uri: str, bits: int) -> np.ndarray:
 def _passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Positions of the hashes that the filter has."""
     left = np.arange(len(h))
-    for at in _probes(h, 8 * len(bits)):
-        own = at[left].astype(np.int64)
+    for i in range(PROBES):
+        own = _probe(h[left] if i else h, i, 8 * len(bits))
         left = left[(bits[own >> 3] >> (own & 7).astype(np.uint8)) & 1 > 0]
     return left
 
@@ -294,7 +341,7 @@ def _hits(uri: str, bits: int, lengths: list[int]):
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
                 own = b.slice(lo, BATCH)
-                t = Templates(own.column(0).to_pylist())
+                t = Templates(own.column(0))
                 starts, h = t.windows()
                 left = _passing(own_filter, h)
                 whole = t.wholes(lengths)
@@ -424,18 +471,22 @@ def best_passage(hits: dict[str, np.ndarray], size: int, similarity: float, agre
         a, b = a[own], b[own]
         return int(d[0]), int(d[-1]) + WINDOW, share, agreeing(a, b), bool((a == b).all())
 
+    # first with all words as they stand, then with those that begin sentences as names too
+    plain = ((h["dv"] == h["iv"]) | (h["df"] & h["if_"] & IS_SLOT > 0)).all(axis=1)
     best = None
-    cuts = np.flatnonzero(np.diff(h["d"], prepend=h["d"][0]) > gap + WINDOW).tolist()
-    for lo, hi in zip([0, *cuts], [*cuts, len(h["d"])], strict=True):
-        at = np.arange(lo, hi)
-        whole = passage(at, False)
-        if whole is None:
+    for all_ in (np.flatnonzero(plain), np.arange(len(plain))):
+        if not len(all_) or best:
             continue
-        # hits that don't agree as they are may be several passages, or repeat a window of the item
-        rows = [whole] if whole[3] >= agreement else [passage(at[c], True) for c in chains(h["d"][at], h["q"][at], gap + WINDOW)]
-        for row in rows:
-            if row and row[3] >= agreement and (best is None or (-row[2], row[0]) < (-best[2], best[0])):
-                best = row
+        cuts = np.flatnonzero(np.diff(h["d"][all_]) > gap + WINDOW) + 1
+        for at in np.split(all_, cuts):
+            whole = passage(at, False)
+            if whole is None:
+                continue
+            # hits that don't agree as they are may be several passages, or repeat a window of the item
+            rows = [whole] if whole[3] >= agreement else [passage(at[c], True) for c in chains(h["d"][at], h["q"][at], gap + WINDOW)]
+            for row in rows:
+                if row and row[3] >= agreement and (best is None or (-row[2], row[0]) < (-best[2], best[0])):
+                    best = row
     return best
 
 

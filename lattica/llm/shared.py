@@ -97,17 +97,16 @@ def write_buckets(df: DataFrame, buckets: int, block_bits: int, uri: str) -> Non
     dealt.write.partitionBy("bucket").parquet(uri)
 
 
-@lru_cache(maxsize=16)
-def read_bucket(uri: str, bucket: int, file: int, column: str | None = None) -> tuple[np.ndarray, np.ndarray | list]:
-    """The sorted row numbers of a file in a bucket, and the values of another column with them."""
+@lru_cache(maxsize=4)
+def read_bucket(uri: str, bucket: int, file: int) -> tuple[np.ndarray, pa.Table | None]:
+    """The sorted row numbers of a file in a bucket, and the other columns in that order."""
     fs, path = open_fs(f"{uri}/bucket={bucket}")
-    columns = ["row", column or "row"]
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = pq.read_table(path, columns=columns[: 2 if column else 1], filesystem=fs, filters=[("file", "=", file)], partitioning=None)
-    row = found["row"].to_numpy()
-    order = np.argsort(row, kind="stable")
-    return row[order], (found[column].take(pa.array(order)).to_pylist() if column else row)
+        return np.zeros(0, np.int64), None
+    found = pq.read_table(path, filesystem=fs, filters=[("file", "=", file)], partitioning=None).drop_columns("file").combine_chunks()
+    order = np.argsort(found["row"].to_numpy(), kind="stable")
+    found = found.take(pa.array(order)).combine_chunks()
+    return found["row"].to_numpy(), found.drop_columns("row")
 
 
 class Rows:

@@ -30,65 +30,37 @@ Empty tables give no rows. Columns that clash in name don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.exact_dedup import RepeatFilter
 from lattica.llm.shared import Rows, bucket_of, read_bucket, scratch, stored, whole_text, write_buckets
+from lattica.llm.words import word_hashes
 
 ANCHOR = 20
 WIDTH = 31
 LEAST = ANCHOR + WIDTH - 1
 BACK = LEAST - ANCHOR
-TASK_ROWS = 100_000
-BATCH = 500
+TASK_ROWS = 50_000
+BATCH = 1000
 #: Rows of a file whose selected positions are read at once, and positions of a bucket.
 BLOCK_BITS = 14
-BUCKET_POSITIONS = 1_000_000
+BUCKET_POSITIONS = 250_000
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-class Words:
-    """64-bit hashes of a text's words; words seen before are looked up."""
-
-    def __init__(self, most: int = 500_000):
-        self.known: dict[bytes, bytes] = {}
-        self.most = most
-
-    def _word(self, word: bytes) -> bytes:
-        got = (xxhash.xxh64_intdigest(word) | 1 << 32).to_bytes(8, "little")  # never like padding
-        if len(word) <= 64 and len(self.known) < self.most:
-            self.known[word] = got
-        return got
-
-    def __call__(self, text: str) -> bytes:
-        known, parts = self.known, []
-        for w in text.encode("utf-8", "surrogatepass").split():
-            got = known.get(w)
-            parts.append(self._word(w) if got is None else got)
-        return b"".join(parts)
-
-
-@lru_cache(maxsize=1)
-def _words() -> Words:
-    """One for each Python worker."""
-    return Words()
-
-
 class Batch:
     """The words of some texts one after another, with padding between them."""
 
-    def __init__(self, texts: list[str]):
-        split, pad = _words(), bytes(8 * LEAST)
-        parts = [split(t) for t in texts]
-        self.n = np.array([len(p) // 8 for p in parts], np.int64)
-        self.start = LEAST + np.append(0, np.cumsum(self.n[:-1] + LEAST)) if len(parts) else np.zeros(0, np.int64)
-        self.words = np.frombuffer(pad + b"".join([x for p in parts for x in (p, pad)]), "<u8")
+    def __init__(self, texts: pa.Array):
+        words, self.n = word_hashes(texts)
+        self.start = LEAST + np.append(0, np.cumsum(self.n[:-1] + LEAST)) if len(texts) else np.zeros(0, np.int64)
+        self.words = np.zeros(int((self.n + LEAST).sum()) + LEAST, np.uint64)
+        before = np.append(0, np.cumsum(self.n[:-1]))
+        self.words[np.repeat(self.start - before, self.n) + np.arange(len(words))] = words
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,7 +120,7 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, BATCH):
             own = b.slice(lo, BATCH)
-            batch = Batch(own.column(0).to_pylist())
+            batch = Batch(own.column(0))
             text, at, h, ctx = anchors(batch)
             if not len(at):
                 continue
@@ -170,31 +142,30 @@ def _suffixes(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             file, row, bucket = (b.column(i).to_numpy() for i in (1, 2, 3))
-            chosen: dict[int, list[int]] = {}
+            which, picks = [np.zeros(0, np.int64)], []
             for u in np.unique(np.stack([bucket, file]), axis=1).T.tolist():
                 at = np.flatnonzero((bucket == u[0]) & (file == u[1]))
-                rows, which = read_bucket(uri, *u, "pick")
-                lo, hi = np.searchsorted(rows, row[at], "left"), np.searchsorted(rows, row[at], "right")
-                for k, x, y in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    if y > x:
-                        chosen[k] = which[x:y]
-            some = sorted(chosen)
-            for k in range(0, len(some), BATCH):
-                own = some[k : k + BATCH]
-                batch = Batch(b.column(0).take(pa.array(own)).to_pylist())
-                pos = np.concatenate([[p["lo"] for p in chosen[i]] for i in own]).astype(np.int64)
-                start = np.repeat(batch.start, [len(chosen[i]) for i in own])
-                left = np.repeat(batch.n, [len(chosen[i]) for i in own]) - pos
+                rows, found = read_bucket(uri, *u)
+                lo, n = np.searchsorted(rows, row[at], "left"), np.searchsorted(rows, row[at], "right") - np.searchsorted(rows, row[at], "left")
+                if n.any():
+                    which.append(np.repeat(at, n))
+                    picks.append(found.take(pa.array(np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()))))
+            which = np.concatenate(which)
+            if not len(which):
+                continue
+            picks = pa.concat_tables(picks).combine_chunks()
+            for lo in range(0, len(which), 10 * BATCH):
+                own, picked = which[lo : lo + 10 * BATCH], picks.slice(lo, 10 * BATCH)
+                texts, of = np.unique(own, return_inverse=True)
+                batch = Batch(b.column(0).take(pa.array(texts)))
+                pos, h1, h2, who, many = (picked[c].to_numpy() for c in ("lo", "h1", "h2", "who", "many"))
+                at, left = batch.start[of] + pos, batch.n[of] - pos
                 short = np.concatenate([(batch.words >> np.uint64(32)).astype(">u4"), np.zeros(LEAST, ">u4")])
-                at = start + pos
                 ahead = short[at[:, None] + ANCHOR + np.arange(BACK)]
                 back = short[at[:, None] - 1 - np.arange(BACK)]
-                picks = [p for i in own for p in chosen[i]]
-                h1, h2, who, many = ([p[c] for p in picks] for c in ("h1", "h2", "who", "many"))
                 for forward, two in ((True, (ahead, back)), (False, (back, ahead))):
                     key = np.concatenate(two, axis=1)
-                    columns = [np.full(len(at), forward), np.array(h1, np.int64), np.array(h2, np.int64), np.array(who, np.int64), np.array(many, bool)]
-                    columns += [np.minimum(pos, BACK).astype(np.int32), np.minimum(left, LEAST).astype(np.int32)]
+                    columns = [np.full(len(at), forward), h1, h2, who, many, np.minimum(pos, BACK).astype(np.int32), np.minimum(left, LEAST).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(list(map(bytes, key)), pa.binary())], names)
 
     return run
@@ -323,7 +294,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contexts = stored(contexts.select("h1", "h2", "who", (F.col("who") < F.col("last")).alias("many"), F.greatest("who", "last").alias("last"), "at"), "contexts")
     mixed = contexts.groupBy("h1").agg(F.min("who").alias("a"), F.max("last").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z AND n > 1").select("h1")
     # both sides of these joins are written, so that AQE can split a common anchor, window or context
-    picked = stored(contexts.join(stored(mixed, "mixed"), "h1").select("at.file", "at.row", F.struct("at.lo", "h1", "h2", "who", "many").alias("pick")), "picked")
+    picked = stored(contexts.join(stored(mixed, "mixed"), "h1").select("at.file", "at.row", "at.lo", "h1", "h2", "who", "many"), "picked")
 
     uri, buckets = scratch(spark, "picks"), max(1, picked.count() // BUCKET_POSITIONS)
     write_buckets(picked, buckets, BLOCK_BITS, uri)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lattica.llm.decontaminate import AGREEMENT, GAP, SENTENCE, SIMILARITY, WINDOW, Templates, best_passage, covered, find_leaks, keep_clean, rarest
+from lattica.llm.decontaminate import AGREEMENT, GAP, SENTENCE, SIMILARITY, TOKEN, UNITS, WINDOW, Templates, best_passage, covered, find_leaks, keep_clean, rarest
 
 ITEMS = [
     (1, "On Monday Anna has 12 apples and gives 5 apples to Bob, who walks 3 km home. How many apples does Anna have now?"),
@@ -204,3 +204,25 @@ def test_rarest_windows_decide():
         pick = set(starts[rarest(starts, np.array([rng.random() for _ in starts]), size, 0.8)].tolist())
         left = np.array([s for s in starts.tolist() if s not in pick])
         assert not len(left) or len(covered(left)) < 0.8 * size
+
+
+def test_plain_pieces_are_read_like_others():
+    """Tokens by numpy equal those by the pattern."""
+    rng = random.Random(11)
+    letters = "abcxyzABCÄÖÜäöüßéÉñÑÿÀ×÷Ω"
+    pieces = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 9))) + rng.choice(["", ".", ",", "!", "?)", '."', "###", "'s", "…", "-x", "5", ":"]) for _ in range(3000)] + ["km", "KM.", "%%%", "(", "don't", "3.5km", "x" * 60]
+    t = Templates(["\n".join(pieces)])
+    want, flags = [], []
+    for p in pieces:
+        found = TOKEN.findall(p)
+        want += [f.lower() for f in found]
+        for k, f in enumerate(found):
+            ends = k == len(found) - 1
+            begins = k == 0
+            number = f[0].isnumeric()
+            unit = k > 0 and found[k - 1][0].isnumeric() and f.lower() in UNITS
+            name = f[0].isupper() and not number and not unit
+            flags.append(bool(number or unit or (name and not begins)) + 2 * (name and begins) + 4 * begins + 8 * ends)
+    of = dict(zip(want, t.values.tolist(), strict=True))
+    assert [of[w] for w in want] == t.values.tolist() and len(set(of.values())) == len(of)
+    assert t.flags.tolist() == flags

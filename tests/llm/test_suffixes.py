@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from lattica.llm.suffixes import Batch, anchors, find_repeats
+from lattica.llm.words import word_hashes
 
 
 def test_copies_select_the_same_anchors():
@@ -11,9 +13,9 @@ def test_copies_select_the_same_anchors():
     passage = ["p%d" % rng.randrange(40) for _ in range(50)]
     for _ in range(50):
         texts = [[f"{k}{rng.random()}" for _ in range(rng.randrange(60))] + passage + [f"{k}{rng.random()}" for _ in range(rng.randrange(60))] for k in "ab"]
-        text, _, h, _ = anchors(Batch([" ".join(t) for t in texts]))
+        text, _, h, _ = anchors(Batch(pa.array([" ".join(t) for t in texts])))
         assert set(h[text == 0].tolist()) & set(h[text == 1].tolist())
-    assert len(anchors(Batch(["x " * 49, "", "y"]))[0]) == 0 and len(anchors(Batch([]))[0]) == 0
+    assert len(anchors(Batch(pa.array(["x " * 49, "", "y"])))[0]) == 0 and len(anchors(Batch(pa.array([], pa.string())))[0]) == 0
 
 
 def brute(rows, least=50):
@@ -108,3 +110,15 @@ def test_nothing_repeated(spark):
     rng = random.Random(3)
     docs = spark.createDataFrame([(d, " ".join("w%d" % rng.randrange(3000) for _ in range(200))) for d in range(20)], "doc_id long, text string")
     assert find_repeats(docs).count() == 0 and find_repeats(docs.limit(0)).count() == 0
+
+
+def test_words():
+    texts = ["one  two\tone\n\x0bé one", "", " ", "x" * 60 + " two", "ONE\xa0x one", "a" * 60]
+    words, n = word_hashes(pa.array(["skip me", *texts]).slice(1))
+    split = [w for t in texts for w in t.encode().split()]
+    assert n.tolist() == [len(t.encode().split()) for t in texts]
+    of = dict(zip(split, words.tolist(), strict=True))
+    assert len(of) == len(set(of.values())) and [of[w] for w in split] == words.tolist() and min(of.values()) >> 32
+    low, _ = word_hashes(pa.array(["ONE É one"]), lower=True)
+    assert low[0] == low[2] == of[b"one"] and low[1] != low[0]
+    assert len(word_hashes(pa.array([], pa.string()))[0]) == 0
