@@ -100,7 +100,9 @@ class Allowed:
 
 
 def holds(op: str, v: object, x: object) -> bool | None:
-    """Whether x meets a clause; None if that isn't known."""
+    """Whether x meets a clause; None if that isn't known. A null meets clauses that name null, and no other."""
+    if x is None:
+        return op == "=" and v is None or op == "in" and isinstance(v, list | tuple | set) and None in v
     try:
         if op == "=":
             return x == v

@@ -22,8 +22,10 @@ class Query:
     table_set: TableSet
     metrics: list[str] = field(default_factory=list)
 
-    def covers(self, metric: str) -> bool:
-        return metric in self.table_set.base.uses()
+    def covers(self, metric: str, request: Request) -> bool:
+        """Whether its base table has the metric, in a column that the request's dimensions suffice for."""
+        uses = self.table_set.base.uses()
+        return metric in uses and set(uses[metric][0].required_grain or []) <= set(request.raw_dimensions)
 
 
 @dataclass
@@ -149,14 +151,13 @@ def plan(warehouse: Warehouse, sources: dict, request: Request, allow_partial: b
     if not request.raw_metrics:
         return [Query(dimension_table_set(warehouse, sources, request, disabled))], lost
     for m in request.raw_metrics:
-        if q := next((q for q in queries if q.covers(m)), None):
+        if q := next((q for q in queries if q.covers(m, request)), None):
             q.metrics.append(m)
             continue
         try:
             queries.append(Query(metric_table_set(warehouse, sources, m, request, disabled), [m]))
         except UnsupportedGrain as e:
             lost[m] = str(e)
-    # weights come from the table of what they weigh
     if lost and (not allow_partial or not queries):
         raise UnsupportedGrain("; ".join(lost.values()))
     return queries, lost

@@ -80,8 +80,8 @@ def test_config_files(tmp_path, monkeypatch):
 
 
 def test_macros_and_bad_configs():
-    made = config.metric_macros([{"name": "v", "type": "integer", "aggregation": {"mean": {"rounding": 1}, "sum": {"name": "total"}}, "divisors": {"metrics": ["leads"]}}])
-    assert [m["name"] for m in made] == ["v_mean", "total", "v_mean_per_lead", "total_per_lead"]
+    made = config.metric_macros([{"name": "v", "type": "integer", "aggregation": {"mean": {"rounding": 1}, "sum": {"name": "total"}}, "divisors": {"metrics": ["calls"]}}])
+    assert [m["name"] for m in made] == ["v_mean", "total", "v_mean_per_call", "total_per_call"]
     for bad in [{"name": "x"}, {"name": "1x", "type": "integer"}, {"name": "x", "type": "integer", "aggregation": "median"}, {"name": "x", "type": "integer", "weighting_metric": "y"}, {"name": "x", "type": "integer", "other": 1}]:
         with pytest.raises(ConfigError):
             config.make_metric(bad)
@@ -127,7 +127,7 @@ def test_sqlite_and_bootstrap(spark, tmp_path):
         w = Warehouse(spark, str(tmp_path / f"w.{suffix}"))
         assert [tuple(r) for r in w.execute(["price"], ["made_month"]).rows] == [("2024-01", 1.5), ("2024-02", 2.5)]
     assert cli.main(["convert", str(tmp_path / "w.yaml"), str(tmp_path / "x.json")]) == 0 and json.loads((tmp_path / "x.json").read_text())
-    assert cli.criterion("a not in 1,2") == ("a", "not in", [1, 2]) and cli.criterion("b = Partner A") == ("b", "=", "Partner A")
+    assert cli.criterion("a not in 1,2") == ("a", "not in", [1, 2]) and cli.criterion("b = New York") == ("b", "=", "New York")
     assert cli.main(["report", str(tmp_path / "w.json"), "-m", "price", "-d", "name", "--rollup", "totals"]) == 0
     with pytest.raises(ConfigError):
         readers.connect(spark, "x", "nothing:x")
@@ -154,9 +154,9 @@ def test_connect_function_and_adhoc_sources(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     w = make(spark, store=str(tmp_path))
-    spec = w.save_report(metrics=["leads"], dimensions=["partner_name"], meta={"a": 1})
-    assert [tuple(r) for r in w.execute_id(spec).rows][0] == ("Partner C", 2)
-    assert [r[0] for r in w.execute(["revenue"], ["partner_name"], criteria=[("partner_name", "in report", spec)]).rows] == ["Partner C", "Partner B", "Partner A"]
+    spec = w.save_report(metrics=["calls"], dimensions=["quay_label"], meta={"a": 1})
+    assert w.execute_id(spec).rows == w.execute(["calls"], ["quay_label"]).rows
+    assert [r[0] for r in w.execute(["fee"], ["quay_label"], criteria=[("quay_label", "in report", spec)]).rows] == ["West", "South", "North"]
     w.delete_report(spec)
     with pytest.raises(InvalidReportId):
         w.load_report(spec)
@@ -168,8 +168,8 @@ def test_store(spark, tmp_path):
     s.delete_warehouse(one)
     with pytest.raises(InvalidWarehouseId):
         s.load_warehouse(one)
-    s.put_values(None, "item", ["lemon"])
-    assert w.allowed_values(w.get_dimension("item")) == ["lemon"]
+    s.put_values(None, "goods", ["tea"])
+    assert w.allowed_values(w.get_dimension("goods")) == ["tea"]
 
 
 def test_timeout_and_kill(spark):
@@ -203,13 +203,14 @@ def test_questions(spark):
     w, seen = make(spark), []
 
     def planner(question, tools):
-        assert tools.find_fields("revenue by partner name")[0]["name"] in ("revenue", "partner_name") and "leads" in tools.overview()["metrics"]
-        assert not tools.validate({"metrics": ["nothing"]})["valid"]
-        return {"reports": [{"metrics": ["revenue"], "dimensions": ["partner_name"]}, {"metrics": ["leads"], "dimensions": ["partner_name"]}], "wrangle": [{"op": "sort_values", "by": ["leads"], "ascending": False}, {"op": "select_columns", "columns": ["partner_name", "leads"]}]}
-
-    a = w.answer_question("revenue and leads by partner name", planner, lambda q, df: f"{df.count()} rows", lambda event, data: seen.append(event))
-    assert [tuple(r) for r in a.result.collect()][0] == ("Partner A", 4) and a.summary == "3 rows" and seen == ["report", "report", "combine", "done"]
-    for bad in [{}, {"reports": [{"metrics": ["nothing"]}]}, {"reports": [{"metrics": ["leads"]}], "combine_strategy": "other"}, {"reports": [{"other": 1}]}]:
+        assert tools.find_fields("fee by quay label")[0]["name"] in ("fee", "quay_label") and "calls" in tools.overview()["metrics"]
+        assert not tools.validate({"metrics": ["what"]})["valid"]
+        return {"reports": [{"metrics": ["fee"], "dimensions": ["quay_label"]}, {"metrics": ["calls"], "dimensions": ["quay_label"]}], "wrangle": [{"op": "sort_values", "by": ["calls"], "ascending": False}, {"op": "select_columns", "columns": ["quay_label", "calls"]}]}
+
+    a = w.answer_question("fee and calls by quay label", planner, lambda q, df: f"{df.count()} rows", lambda event, data: seen.append(event))
+    most = max(w.execute(["calls"], ["quay_label"]).rows, key=lambda r: r.calls)
+    assert a.result.collect()[0].calls == most.calls and a.summary == "3 rows" and seen == ["report", "report", "combine", "done"]
+    for bad in [{}, {"reports": [{"metrics": ["what"]}]}, {"reports": [{"metrics": ["calls"]}], "combine_strategy": "other"}, {"reports": [{"other": 1}]}]:
         with pytest.raises(QuestionError):
             w.plan_question("q", lambda q, t, bad=bad: bad)
     with pytest.raises(QuestionError):
@@ -224,16 +225,16 @@ def test_question_coverage_and_visibility(spark):
     from lattica.questions import default_summary, uncovered, visible_fields
 
     def change(c):
-        c["meta"] = {"agent": {"field_disabled_groups": ["secret"], "field_disabled_patterns": ["^sale_"]}}
+        c["meta"] = {"agent": {"field_disabled_groups": ["secret"], "field_disabled_patterns": ["^landed_", "^box_id"]}}
         c["metrics"] += [{"name": "hidden_one", "type": "integer", "meta": {"agent": {"enabled": False}}}, {"name": "hidden_two", "type": "integer", "meta": {"group": "secret"}}]
 
     w = make(spark, change)
     shown = visible_fields(w)
-    assert "revenue" in shown and not {"hidden_one", "hidden_two", "sale_id", "sale_year"} & set(shown)
-    plan = [{"metrics": ["revenue"], "dimensions": ["partner_name"]}]
-    assert uncovered(w, "Revenue by partner name?", plan) == [] and uncovered(w, "revenue and leads by campaign name", plan) == ["metrics ['leads']", "dimensions ['campaign_name']"]
-    assert uncovered(w, "revenue last 3 days", plan)[0].startswith("criteria") and uncovered(w, "revenue last 3 days", [plan[0] | {"criteria": [("date", ">=", "3 days ago")]}]) == []
+    assert "fee" in shown and not {"hidden_one", "hidden_two", "box_id", "landed_year"} & set(shown)
+    plan = [{"metrics": ["fee"], "dimensions": ["quay_label"]}]
+    assert uncovered(w, "Fee by quay label?", plan) == [] and uncovered(w, "fee and calls by berth label", plan) == ["metrics ['calls']", "dimensions ['berth_label']"]
+    assert uncovered(w, "fee last 3 days", plan)[0].startswith("criteria") and uncovered(w, "fee last 3 days", [plan[0] | {"criteria": [("date", ">=", "3 days ago")]}]) == []
     with pytest.raises(QuestionError):
-        w.plan_question("number", lambda q, t: {"reports": [{"metrics": ["revenue"], "dimensions": ["sale_id"]}]})
-    a = w.answer_question("revenue by partner name", lambda q, t: {"reports": plan})
+        w.plan_question("number", lambda q, t: {"reports": [{"metrics": ["fee"], "dimensions": ["box_id"]}]})
+    a = w.answer_question("fee by quay label", lambda q, t: {"reports": plan})
     assert "1 report" in a.summary and default_summary("q", a.reports, {"x": a.result}).endswith("1 results apart.")
