@@ -8,6 +8,7 @@ absent (local tests) is a folder of our own made. Python code opens these files
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -63,6 +64,18 @@ def remove(uri: str) -> None:
         fs.delete_dir(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a stored table."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(folder)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the files of shuffles that nothing refers to any more: it finds them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
