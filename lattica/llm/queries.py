@@ -53,7 +53,7 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), words_before=1)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from functools import lru_cache
 
@@ -72,8 +73,10 @@ def forget(df: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the files of shuffles that nothing refers to any more: it finds them when the driver collects garbage."""
+    spark.range(1).count()  # the last query is held until the next
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -48,16 +48,21 @@ def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed(out)
 
 
-def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of anything but ASCII white space) of texts without nulls, one text after another, and how many each has."""
+def word_hashes(texts: pa.Array, lower: bool = False, indexed: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of the words (runs of anything but ASCII white space) of texts without nulls, one text after another, and how many each has.
+
+    With indexed: the hashes of the different words, which of them each word is, and how many each text has.
+    """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
     if not len(flat):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64))
+        return none if indexed else none[::2]
     found = flat.dictionary_encode()
     data, start, end = spans(found.dictionary)
     at = found.indices.to_numpy()
     is_word = (end > start)[at]  # white space at a text's ends leaves empty strings
     before = np.append(0, np.cumsum(is_word))
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return byte_hashes(data, start, end)[at[is_word]], np.diff(before[offsets])
+    hashes, at, n = byte_hashes(data, start, end), at[is_word], np.diff(before[offsets])
+    return (hashes, at, n) if indexed else (hashes[at], n)
