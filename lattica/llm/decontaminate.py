@@ -33,7 +33,6 @@ Ties between passages: the one that begins first. Columns that clash in name don
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import Rows, open_fs, scratch, stored, whole_text
+from lattica.llm.shared import Rows, open_fs, resident, scratch, stored, whole_text
 from lattica.llm.words import byte_hashes, spans
 
 WINDOW = 5
@@ -309,7 +308,7 @@ def _write_filter(windows: DataFrame, bits: int, uri: str) -> None:
     at.groupBy((F.col("at") / SLICE).cast("long").alias("slice")).applyInPandas(_slice_bits, "slice long, bits binary").write.parquet(uri)
 
 
-@lru_cache(maxsize=1)
+@resident(maxsize=1)
 def _read_filter(uri: str, bits: int) -> np.ndarray:
     """The bits again: at most as many bytes as the filter may have, in each Python worker."""
     out = np.zeros(bits // 8, np.uint8)

@@ -22,7 +22,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import Rows, open_fs, scratch, stored, whole_text
+from lattica.llm.shared import Rows, open_fs, resident, scratch, stored, whole_text
 
 PROBES = 4
 CELLS_PER_ROW = 16
@@ -106,7 +105,7 @@ def _merged(slice_cells: int):
     return run
 
 
-@lru_cache(maxsize=2)
+@resident(maxsize=2)
 def _filter(uri: str, group: int, n_bytes: int, slice_bytes: int) -> np.ndarray:
     """The filter of a hash range, read by an executor from the shared folder."""
     bits = np.zeros(n_bytes, np.uint8)

@@ -8,12 +8,14 @@ absent (local tests) is a folder of our own made. Python code opens these files
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import time
 import uuid
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_RESIDENT: list = []
 #: Removed rows that one bucket holds on average, and rows of a file that share a bucket.
 BUCKET_ROWS = 500_000
 BLOCK_BITS = 20
@@ -79,6 +82,33 @@ def free_shuffles(spark: SparkSession) -> None:
     time.sleep(1)
 
 
+def release(but: Callable | None = None) -> None:
+    """Give back the memory that this process holds for tasks of other operators: Python workers outlive their tasks, and so would it."""
+    for kept in _RESIDENT:
+        if kept is not but:
+            kept.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def resident(maxsize: int) -> Callable[[Callable], Callable]:
+    """``lru_cache`` for what is large and stays in a Python worker; making one drops those of all other functions marked so."""
+
+    def mark(make: Callable) -> Callable:
+        @lru_cache(maxsize)
+        @wraps(make)
+        def kept(*args):
+            release(but=kept)
+            return make(*args)
+
+        _RESIDENT.append(kept)
+        return kept
+
+    return mark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
 
+from lattica.llm.shared import resident
+
 #: Fixed values of the vocabulary files this shortcut knows: normaliser steps and the split pattern.
 WORD_STEPS = ["NFC", "Replace", "Lowercase"]
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -98,7 +99,7 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))), self.kind)
 
 
-@lru_cache(maxsize=2)
+@resident(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for a vocabulary file in each Python worker."""
     return Encoder(path)
