@@ -120,6 +120,45 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, bits: int, budget: int = BU
     return np.concatenate(classes.links) if classes.links else np.zeros((0, 2), np.int64)
 
 
+def trie_pairs(keys: np.ndarray, groups: np.ndarray, bits: int, budget: int, leaf: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (positions a < b) of keys of a group within ``budget`` differing bits, in parts.
+
+    keys: unsigned, sorted within groups; equal ones may repeat. Node pairs of up to leaf x leaf keys are compared directly.
+    """
+    edges = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1))
+    ends = np.append(edges[1:], len(keys))
+    roots = np.stack([edges, ends], axis=1)[ends - edges > 1]
+    work = [(bits, np.concatenate([roots, roots, np.zeros((len(roots), 1), np.int64)], axis=1))]
+    while work:
+        bit, pairs = work.pop()
+        if len(pairs) > 1 << 16:  # depth first, in parts, so that the frontier stays small
+            half = len(pairs) // 2
+            work += [(bit, pairs[:half]), (bit, pairs[half:])]
+            continue
+        pairs = pairs[pairs[:, 4] <= budget]
+        small = np.maximum(pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]) <= leaf if bit else np.ones(len(pairs), bool)
+        leaves = pairs[small]
+        size = (leaves[:, 1] - leaves[:, 0]) * (leaves[:, 3] - leaves[:, 2])
+        tiny = size <= 4096
+        own, total = leaves[tiny], np.cumsum(size[tiny])
+        for at in range(0, int(total[-1]) if len(total) else 0, 1 << 18):  # some of the tiny ones at once
+            lo, hi = np.searchsorted(total, [at, at + (1 << 18)], side="right")
+            a0, a1, b0, b1, _ = own[lo:hi].T.astype(np.int32)
+            wide, n = b1 - b0, (a1 - a0) * (b1 - b0)
+            at_ = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
+            row = at_ // np.repeat(wide, n)
+            a, b = np.repeat(a0, n) + row, np.repeat(b0, n) + (at_ - row * np.repeat(wide, n))
+            near = np.flatnonzero((np.bitwise_count(keys[a] ^ keys[b]) <= budget) & (a < b))
+            yield a[near].astype(np.int64), b[near].astype(np.int64)
+        for a0, a1, b0, b1, _ in leaves[~tiny].tolist():
+            for lo in range(a0, a1, 1 << 10):  # equal keys make large leaves
+                a, b = np.nonzero(np.bitwise_count(keys[lo : min(a1, lo + (1 << 10)), None] ^ keys[b0:b1]) <= budget)
+                a, b = a + lo, b + b0
+                yield (a[a < b], b[a < b]) if a0 == b0 else (a, b)
+        if len(pairs := pairs[~small]):
+            work.append((bit - 1, _children(keys, pairs, bit - 1)))
+
+
 def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
     """Where the keys with this bit set begin, in sorted ranges that agree above it: a bisection of all ranges at once."""
     lo, hi = lo.copy(), hi.copy()

@@ -3,6 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from lattica.llm import jaccard
 from lattica.llm.jaccard import near_copies
 
 
@@ -53,3 +54,37 @@ def test_against_brute_force(spark, small):
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "other words of any kind here")], "doc_id long, text string")
     assert near_copies(docs).count() == 0 and near_copies(docs.limit(0)).count() == 0
+
+
+def test_dense_group_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with changes of their own, most of which aren't similar to each other: pairs don't grow with the square."""
+    rng = random.Random(3)
+    base, rows = ["b%d" % i for i in range(150)], []
+    for i in range(600):
+        own = list(base)
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(150)] = "n%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(own)))
+    plain, compared = jaccard.stored, []
+
+    def stored(df, name):
+        out = plain(df, name)
+        if name in ("pairs", "nearest", "partners"):
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    gone = {r.doc_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    own = {i: sets(t) for i, t in rows}
+    stay = [i for i in own if i not in gone]
+    assert not [1 for i in stay for j in stay if j < i and similar(own[i], own[j])]
+    assert all(any(similar(own[i], own[j]) for j in range(i)) for i in gone)
+    assert sum(compared) < len(rows) ** 2 / 2 / 10  # a tenth of all pairs
+
+
+@pytest.mark.parametrize("hot_rows", [20, 20_000])
+def test_hot_blocks_in_slices(spark, hot_rows):
+    rng = random.Random(4)
+    base = ["b%d" % i for i in range(100)]
+    rows = [(i, " ".join([*base, "n%d" % rng.randrange(10**6)])) for i in range(100)] + [(200 + i, " ".join("o%d" % rng.randrange(10**6) for _ in range(90))) for i in range(30)]
+    assert sorted(r.doc_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string"), hot_rows=hot_rows).collect()) == list(range(1, 100))
