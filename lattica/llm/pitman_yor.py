@@ -251,23 +251,27 @@ def _merged(hot: list[np.ndarray], common: np.ndarray):
     """A bucket's rows as one structure, and its entries by batch."""
 
     def one(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        raw = []
+        raw, names, n = [], [common], len(common)
         for r in rows:
             words, earlier, before, word, sizes, who, counts = (_un(p, "<u8" if i == 0 else "<u4") for i, p in enumerate(r["parts"]))
             before = np.cumsum(before.astype(np.int64))
             code = (earlier, before, _since(word.astype(np.int64), np.append(True, before[1:] != before[:-1])))
-            raw.append((code, np.concatenate([common, np.cumsum(words)]), sizes, who, counts))
+            # a row's other words have numbers of their own in the bucket, the common ones the same in all rows
+            raw.append((tuple((x + (x >= len(common)) * (n - len(common))).astype(np.uint32) for x in code), sizes, who, counts))
+            names.append(np.cumsum(words))
+            n += len(words)
+        names = np.concatenate(names)
         # the words of either kind that the codes of all rows stand for, and their places among these
         places, kinds = [], []
         for roles in ((0,), (1, 2)):
-            used = [np.unique(np.concatenate([r[0][i] for i in roles])) for r in raw]
-            kinds.append(np.unique(np.concatenate([r[1][u] for r, u in zip(raw, used, strict=True)])))
-            found = []
-            for (_, names, *_), u in zip(raw, used, strict=True):
-                place = np.zeros(len(names), np.int64)
-                place[u] = np.searchsorted(kinds[-1], names[u])
-                found.append(place)
-            places += [np.concatenate([p[r[0][i]] for r, p in zip(raw, found, strict=True)]) for i in roles]
+            codes = [np.concatenate([r[0][i] for r in raw]) for i in roles]
+            used = np.unique(np.concatenate(codes))
+            kinds.append(np.unique(names[used]))
+            place = np.zeros(len(names), np.uint32)
+            place[used] = np.searchsorted(kinds[-1], names[used])
+            places += [place[x].astype(np.int64) for x in codes]
+        del names, place, codes
+        raw = [r[1:] for r in raw]
         (others, words), (earlier, before, word) = kinds, places
         pair = (before << 32) | word
         order = np.lexsort((earlier, pair)) if len(others) > 1 else np.argsort(pair, kind="stable")
@@ -280,7 +284,7 @@ def _merged(hot: list[np.ndarray], common: np.ndarray):
         contexts, in_context = np.unique((before << 32) | earlier, return_inverse=True)
         context = two(others[contexts & 0xFFFFFFFF], words[contexts >> 32])
         trained, done = np.zeros(len(first), np.int64), 0
-        for r, (_, _, sizes, who, counts) in zip(rows, raw, strict=True):
+        for r, (sizes, who, counts) in zip(rows, raw, strict=True):
             entry_type = np.repeat(type_of[done : done + len(sizes)], sizes)  # rising, as the row's types are sorted alike
             done += len(sizes)
             trained += np.bincount(entry_type, counts * (1 - who % 2), len(first)).astype(np.int64)

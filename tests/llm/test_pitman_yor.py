@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -165,3 +166,25 @@ def test_seat():
             k += rng.random() < 3 / (i - 0.5 * k + 3)
         exact.append(k)
     assert abs(t[:, 3].mean() - np.mean(exact)) < 0.6
+
+
+def test_many_batches_share_the_common_words():
+    """What a bucket holds doesn't grow by the list of common words with each batch."""
+    common = np.sort(np.random.default_rng(0).integers(1, 2**63, pitman_yor.COMMON).astype(np.uint64))
+    z = pitman_yor._z
+    rows = []
+    for i in range(400):  # each batch says (common 5, own word) once, the common 7 after it
+        own = np.array([i + 1, 2**63 + i], np.uint64)
+        code = np.array([5, len(common) + 1])
+        parts = [z(np.diff(own, prepend=np.uint64(0)), "<u8"), z(np.full(2, 7)), z(np.diff(code, prepend=0)), z(np.array([len(common), 7])), z(np.ones(2)), z(np.array([0, 2])), z(np.ones(2))]
+        rows.append({"bucket": 0, "kind": pitman_yor.ENTRIES, "batch": i, "parts": parts})
+    batch = pitman_yor._rows([tuple(r.values()) for r in rows])
+    tracemalloc.start()
+    out = [r for b in pitman_yor._merged([np.zeros(0, np.uint64)] * 3, common)([batch]) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    (static,) = [r["parts"] for r in out if r["kind"] == pitman_yor.STATIC]
+    words = np.cumsum(pitman_yor._un(static[0], "<u8"))
+    assert set(words.tolist()) == {int(common[5]), int(common[7]), *range(1, 401), *range(2**63, 2**63 + 400)}
+    assert len(pitman_yor._un(static[3])) == 800 and len(out) == 401
+    assert peak < 40 << 20
