@@ -41,7 +41,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    return resample(docs, table(spark, sf_dir, "labels"), k=docs.count() // 2)  # half of all documents are drawn, of those that are fit
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from lattica.llm import queries
 from lattica.llm.quality import ALL, BUCKETS, PREFIXES, Features, best_cut, importances, keep_good, kth_largest, log_ratios, resample, shortages
 
 WORDS = ["la", "so", "mi", "re", "do", "ti", "fa", "ut"]
@@ -132,3 +133,14 @@ def test_worst_passage():
     assert shortages(counts, texts).tolist()[::2] == [0, 0] and shortages(counts, texts)[1] < -2
     assert log_ratios(counts, texts)[0] == 0 and ALL == 4 * BUCKETS
     assert best_cut(np.array([0.0, -1, -5, -6]), np.array([True, True, False, False])) == -3
+
+
+def test_query_samples(spark):
+    """The query draws half of all documents: those with the largest keys of all that are fit."""
+    rows = queries.op6_quality(spark, "/root/testdata/sf0.01").collect()
+    keys = sorted((r.key for r in rows if r.fit), reverse=True)
+    k = len(rows) // 2
+    assert k < len(keys) and sum(r.kept for r in rows) == k
+    assert all(r.kept == (r.fit and r.key >= keys[k - 1]) for r in rows)
+    # noise decides too
+    assert min(r.log_importance for r in rows if r.kept) < max(r.log_importance for r in rows if r.fit and not r.kept)
