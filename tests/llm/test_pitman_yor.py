@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lattica.llm import pitman_yor
+from lattica.llm import pitman_yor, queries
 from lattica.llm.pitman_yor import discount, score, seat
 from lattica.llm.shared import scratch, stored
 from lattica.llm.words import word_hashes
@@ -188,3 +188,11 @@ def test_many_batches_share_the_common_words():
     assert set(words.tolist()) == {int(common[5]), int(common[7]), *range(1, 401), *range(2**63, 2**63 + 400)}
     assert len(pitman_yor._un(static[3])) == 800 and len(out) == 401
     assert peak < 40 << 20
+
+
+def test_query_has_both_levels(spark, monkeypatch):
+    """The query learns from two words before, as the operator does."""
+    given = []
+    monkeypatch.setattr(queries, "score", lambda docs, **k: given.append(k.get("words_before", pitman_yor.WORDS_BEFORE)))
+    queries.op9_language_model(spark, "/root/testdata/sf0.001")
+    assert given == [2]
