@@ -66,6 +66,7 @@ END = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 1 << 13
 ROWS = "bucket int, kind int, batch long, parts array<binary>"
 STATIC, DOCS, ENTRIES = 0, 1, 2
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -83,14 +84,49 @@ def _z(a: np.ndarray, kind: str = "<u4") -> bytes:
     if kind == "<u4":
         most = int(a.max()) if a.size else 0
         kind = "u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
-    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(a.astype(kind).tobytes())
+    return bytes([np.dtype(kind).itemsize]) + PACK.compress(a.astype(kind).tobytes())
 
 
 def _un(data: bytes, kind: str = "<u4") -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data[1:])
+    raw = UNPACK.decompress(data[1:])
     return np.frombuffer(raw, f"<u{data[0]}").astype("<u4") if kind == "<u4" else np.frombuffer(raw, kind)
 
 
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by keys of whole numbers, the first foremost; rows alike stay in their order.
+
+    numpy sorts plain numbers many times as fast as it sorts places by several keys. So the keys' bits and the place are packed into one number; what is too wide
+    for that is sorted in turns, the last bits first.
+    """
+    n = len(keys[0])
+    if n < 2:
+        return np.arange(n)
+    bits = (n - 1).bit_length()
+    turns, filled = [np.zeros(n, np.uint64)], 0
+    for key in reversed(keys):
+        key = key.astype(np.uint64) - key.min().astype(np.uint64)  # modulo 2^64, so of signed numbers too
+        left = int(key.max()).bit_length()
+        while left:
+            if bits + filled == 64:
+                turns, filled = [*turns, np.zeros(n, np.uint64)], 0
+            turns[-1] |= key << np.uint64(bits + filled)  # the bits that don't fit fall off
+            taken = min(left, 64 - bits - filled)
+            key, left, filled = key >> np.uint64(taken), left - taken, filled + taken
+    order = np.arange(n)
+    for k, turn in enumerate(turns):
+        found = (np.sort((turn[order] if k else turn) | np.arange(n, dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = order[found] if k else found
+    return order
+
+
+def marked(numbers: list[np.ndarray], n: int) -> np.ndarray:
+    """Which of the numbers below n occur, in order."""
+    found = np.zeros(n, bool)
+    for x in numbers:
+        found[x] = True
+    return np.flatnonzero(found)
+
+
 def _place(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The index of each value in a sorted list, -1 where it has none."""
     if not len(sorted_):
@@ -100,32 +136,36 @@ def _place(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Tokens of a batch of texts: document, word, the word before and the one before that."""
+    """Tokens of a batch of texts: document, and the numbers (places in ``distinct``, hashes) of the word, the word before and the one before that."""
 
     def __init__(self, texts: pa.Array, words_before: int = WORDS_BEFORE):
         distinct, index, n = word_hashes(texts, lower=True, indexed=True)
-        words, self.distinct, self.end = distinct[index], np.append(distinct, END), len(distinct)
+        self.distinct, self.end = np.append(distinct, END), len(distinct)
         self.n = n + 1
         starts = np.cumsum(self.n) - self.n
-        self.doc = np.repeat(np.arange(len(n)), self.n)
-        self.word = np.full(int(self.n.sum()), END)
-        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(len(words))
-        self.number = np.full(len(self.word), self.end)
-        self.word[at], self.number[at] = words, index
-        self.before, self.earlier = np.append(END, self.word[:-1]), np.concatenate([[END, END], self.word[:-2]])[: len(self.word)]
-        self.before[starts] = self.earlier[starts] = END
-        second = starts[self.n > 1] + 1
-        self.earlier[second] = END
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), self.n)
+        self.word = np.full(int(self.n.sum()), self.end, np.int32)
+        is_word = np.ones(len(self.word), bool)
+        is_word[starts + n] = False
+        self.word[is_word] = index
+        end = np.int32(self.end)
+        self.before, self.earlier = np.append(end, self.word[:-1]), np.concatenate([[end, end], self.word[:-2]])[: len(self.word)]
+        self.before[starts] = self.earlier[starts] = end
+        self.earlier[starts[self.n > 1] + 1] = end
         if words_before == 1:
-            self.earlier[:] = END
+            self.earlier[:] = end
 
     def context(self, at: np.ndarray) -> np.ndarray:
         """Hashes of the contexts of some tokens."""
-        return two(self.earlier[at], self.before[at])
+        return two(self.distinct[self.earlier[at]], self.distinct[self.before[at]])
 
     def type(self, at: np.ndarray) -> np.ndarray:
         """Hashes of contexts and words."""
-        return two(self.context(at), self.word[at])
+        return two(self.context(at), self.distinct[self.word[at]])
+
+    def with_before(self, words: np.ndarray) -> np.ndarray:
+        """The tokens after one of some words (sorted hashes)."""
+        return np.flatnonzero((_place(words, self.distinct) >= 0)[self.before])
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,14 +194,17 @@ def _frequent(share: int, words_before: int):
         for b in _batches(batches):
             t = Tokens(b.column(0), words_before)
             rows = [(np.array([-1]), np.zeros(1, np.uint64), np.array([len(t.word)]))]
-            at = np.arange(len(t.word))
+            n = np.bincount(t.before, minlength=len(t.distinct))
+            most = n * share > len(t.word)
+            keep = most | (n >= OFTEN)
+            rows.append((np.full(int(keep.sum()), 0), t.distinct[keep], n[keep]))
+            at = np.flatnonzero(most[t.before])
             # a context is at most as frequent as its word, a trigram as its context
-            for level in range(3):
-                h = t.before if level == 0 else t.context(at) if level == 1 else t.type(at)
+            for level in (1, 2):
+                h = t.context(at) if level == 1 else t.type(at)
                 found, n = counted(h)
                 most = n * share > len(t.word)
-                keep = most | (n >= OFTEN) if level == 0 else most
-                rows.append((np.full(int(keep.sum()), level), found[keep], n[keep]))
+                rows.append((np.full(int(most.sum()), level), found[most], n[most]))
                 at = at[_place(found[most], h) >= 0] if len(h) else at
             level, h, n = (np.concatenate(x) for x in zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["level", "h", "n"])
@@ -191,31 +234,28 @@ def _dealt(hot: list[np.ndarray], common: np.ndarray, buckets: int, words_before
             mine = int(mixed(np.array([batch], np.uint64))[0] % np.uint64(buckets))
             if mine % words_before == turn:
                 yield _rows([(mine, DOCS, batch, [_z(np.array([i or 0 for i in ids]), "<i8"), _z(known, "u1"), _z(held, "u1"), _z(t.n)])])
-            by = t.before.copy()
+            bucket = (mixed(t.distinct) % np.uint64(buckets)).astype(np.int32)[t.before]
+            at = t.with_before(hot[0])
             for level, own in enumerate((t.context, t.type, t.type)):
-                at = np.flatnonzero(_place(hot[0], t.before) >= 0) if level == 0 else at[_place(hot[level], t.context(at) if level == 1 else t.type(at)) >= 0]
-                by[at] = own(at) + np.uint64((part + k) % SALT if level == 2 else 0)
-            bucket = (mixed(by) % np.uint64(buckets)).astype(np.int64)
-            # numbers of the batch's words: common ones first, then by hash
-            words, at = t.distinct, t.number
-            place = _place(common, words)
-            rank = np.argsort(np.where(place >= 0, place, len(common) + np.arange(len(words))), kind="stable")
-            words, place = words[rank], place[rank]
-            number = np.empty(len(words), np.int64)
-            number[rank] = np.arange(len(words))
-            word, end = number[at], number[t.end]
-            before, earlier = np.append(end, word[:-1]), np.concatenate([[end, end], word[:-2]])[: len(word)]
-            before[t.before == END], earlier[t.earlier == END] = end, end
+                if level:
+                    at = at[_place(hot[level], t.context(at) if level == 1 else t.type(at)) >= 0]
+                bucket[at] = mixed(own(at) + np.uint64((part + k) % SALT if level == 2 else 0)) % np.uint64(buckets)
             own = np.flatnonzero(bucket % words_before == turn)
             if not len(own):
                 continue
-            bits = len(words).bit_length()
-            key = (bucket[own] << 2 * bits) | (before[own] << bits) | word[own]  # a batch's words take 20 bits or so
-            if bucket[own].max().item().bit_length() + 2 * bits > 62 or words_before > 1:
-                order = own[np.lexsort((earlier[own], (before[own] << 32) | word[own], bucket[own]))]
-            else:
-                order = own[np.argsort(key, kind="stable")]
-            bucket, word, before, earlier, doc = (x[order] for x in (bucket, word, before, earlier, t.doc))
+            # numbers of the batch's words: common ones first, then as they come
+            words = t.distinct
+            by_hash, place = np.argsort(words), np.empty(len(words), np.int64)
+            place[by_hash] = _place(common, words[by_hash])  # values in order are found faster
+            rank = ordered(np.where(place >= 0, place, len(common) + np.arange(len(words))))
+            words, place = words[rank], place[rank]
+            number = np.empty(len(words), np.int32)
+            number[rank] = np.arange(len(words))
+            shared = int((place >= 0).sum())
+            code_of = place.copy()
+            bucket, word, before, earlier, doc = bucket[own], number[t.word[own]], number[t.before[own]], number[t.earlier[own]], t.doc[own]
+            order = ordered(bucket, before, word, earlier)
+            bucket, word, before, earlier, doc = (x[order] for x in (bucket, word, before, earlier, doc))
             changes = [np.append(True, x[1:] != x[:-1]) for x in (bucket, before, word, earlier, doc)]
             new_type = changes[0] | changes[1] | changes[2] | changes[3]
             entry = np.flatnonzero(new_type | changes[4])
@@ -226,12 +266,12 @@ def _dealt(hot: list[np.ndarray], common: np.ndarray, buckets: int, words_before
             of = bucket[first]
             edges = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
             ends = np.append(types, len(entry))
-            who = doc[entry] * 2 + held[doc[entry]]
+            who = doc[entry].astype(np.int64) * 2 + held[doc[entry]]
             for lo, hi in zip(edges, [*edges[1:], len(of)], strict=True):
                 own = [x[first[lo:hi]] for x in (earlier, before, word)]
-                used = np.unique(np.concatenate(own))
-                others = used[place[used] < 0]
-                code = [np.where(place[x] >= 0, place[x], len(common) + np.searchsorted(others, x)) for x in own]
+                others = counted(np.concatenate([x[x >= shared] for x in own]))[0]
+                code_of[others] = len(common) + np.arange(len(others))
+                code = [code_of[x] for x in own]
                 same = np.append(False, own[1][1:] == own[1][:-1])
                 e = slice(ends[lo], ends[hi])
                 parts = [_z(np.diff(words[others], prepend=np.uint64(0)), "<u8"), _z(code[0]), _z(np.diff(code[1], prepend=0)), _z(code[2] - np.where(same, np.append(0, code[2][:-1]), 0)), _z(sizes[lo:hi]), _z(who[e]), _z(counts[e])]
@@ -265,16 +305,17 @@ def _merged(hot: list[np.ndarray], common: np.ndarray):
         places, kinds = [], []
         for roles in ((0,), (1, 2)):
             codes = [np.concatenate([r[0][i] for r in raw]) for i in roles]
-            used = np.unique(np.concatenate(codes))
-            kinds.append(np.unique(names[used]))
+            used = marked(codes, len(names))
+            kind, at = np.unique(names[used], return_inverse=True)
+            kinds.append(kind)
             place = np.zeros(len(names), np.uint32)
-            place[used] = np.searchsorted(kinds[-1], names[used])
+            place[used] = at
             places += [place[x].astype(np.int64) for x in codes]
         del names, place, codes
         raw = [r[1:] for r in raw]
         (others, words), (earlier, before, word) = kinds, places
         pair = (before << 32) | word
-        order = np.lexsort((earlier, pair)) if len(others) > 1 else np.argsort(pair, kind="stable")
+        order = ordered(before, word, earlier)
         new = np.append(True, (np.diff(pair[order]) != 0) | (np.diff(earlier[order]) != 0))
         type_of = np.empty(len(order), np.int64)
         type_of[order] = np.cumsum(new) - 1
@@ -285,10 +326,10 @@ def _merged(hot: list[np.ndarray], common: np.ndarray):
         context = two(others[contexts & 0xFFFFFFFF], words[contexts >> 32])
         trained, done = np.zeros(len(first), np.int64), 0
         for r, (sizes, who, counts) in zip(rows, raw, strict=True):
-            entry_type = np.repeat(type_of[done : done + len(sizes)], sizes)  # rising, as the row's types are sorted alike
+            entry_type = np.repeat(type_of[done : done + len(sizes)], sizes)
             done += len(sizes)
             trained += np.bincount(entry_type, counts * (1 - who % 2), len(first)).astype(np.int64)
-            order = np.argsort(entry_type, kind="stable")
+            order = ordered(entry_type)
             yield _rows([(bucket, ENTRIES, r["batch"], [_z(np.diff(entry_type[order], prepend=0)), _z(who[order] // 2), _z(counts[order])])])
         salted = _place(hot[2], two(context[in_context], words[word])) if len(hot[2]) else np.full(len(first), -1)
         parts = [_z(np.diff(words, prepend=np.uint64(0)), "<u8"), _z(np.diff(in_context, prepend=0), "<i4"), _z(new_pair, "u1"), _z(trained), _z(np.diff(before[new_pair], prepend=0)), _z(word[new_pair])]
@@ -349,7 +390,7 @@ class Bucket:
         self.counted = np.ones(len(self.c), bool)
         self.salted = np.flatnonzero(self.hot_type >= 0)
         # words asked of slices, and pairs of hot context words
-        self.asked = np.unique(self.pair_word)
+        self.asked = marked([self.pair_word], len(self.words))
         self.pairs = np.flatnonzero(self.common)
 
     def start(self) -> None:
@@ -388,7 +429,7 @@ class Bucket:
     def slices(self, of: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order by slice of some words, the slices that have any, and where each begins."""
         s = (mixed(self.words[of]) >> np.uint64(20)) % np.uint64(slices)
-        order = np.argsort(s, kind="stable")
+        order = ordered(s)
         return order, s[order].astype(np.int64), np.flatnonzero(np.diff(s[order].astype(np.int64), prepend=-1))
 
     def requests(self, slices: int, first: bool) -> list[tuple]:
@@ -597,8 +638,8 @@ def _scored(uri: str, slices: int, samples: dict[int, dict]):
                     for r in b.to_pylist():
                         type_, doc, n = (_un(p) for p in r["parts"])
                         type_ = np.cumsum(type_)
-                        docs, at = np.unique(doc, return_inverse=True)
-                        each = [np.bincount(at, n * x[type_], len(docs)) for x in (base, say, count > 0)]
+                        docs = marked([doc], int(doc.max()) + 1)
+                        each = [np.bincount(doc, n * x[type_])[docs] for x in (base, say, count > 0)]
                         yield _rows([(number, ENTRIES, r["batch"], [_z(np.diff(docs, prepend=0)), _z(each[0], "<f8"), _z(each[1], "<f4"), _z(each[2])])])
 
     return _for_each_bucket(one)
